@@ -29,6 +29,9 @@ def normal_terms(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: None if t is None else normal_term(t))
 
 
+normal_terms = normal_terms.asNondeterministic()  # else a filter on its result makes it run twice
+
+
 def basket_items(df: DataFrame, kind: str, basket: list[str], term: str) -> DataFrame:
     """Distinct (kind, basket, item): terms normalised; null and empty ones are left out. ``basket`` may not be null."""
     key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in basket])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloq.functions.text import is_blank, is_finite, to_ms
 from colloq.llm.cooccurrence import associated_pairs, basket_items
+from colloq.llm.encoding import repair_texts
 from colloq.llm.nearest import nearest_in_time
 from colloq.plans.intervals import USABLE_TURNS_SQL, sql_trim, usable_turns
 from colloq.session import table
@@ -38,7 +39,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select("turn_id", "file_id", F.col("point_id").alias("word_ord")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p3_found": p3_found}
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_repaired(spark, sf_dir).select("doc_id").distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_scores": p1_scores,
+    "p3_found": p3_found,
+    "p9_found": p9_found,
+    "p9_repaired": p9_repaired,
+}
 
 SQL = {
     "p3_found": f"""
