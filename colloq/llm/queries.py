@@ -9,6 +9,7 @@ from colloq.functions.text import is_blank, is_finite, to_ms
 from colloq.llm.cooccurrence import associated_pairs, basket_items
 from colloq.llm.encoding import repair_texts
 from colloq.llm.nearest import nearest_in_time
+from colloq.llm.turns import speaker_turns
 from colloq.plans.intervals import USABLE_TURNS_SQL, sql_trim, usable_turns
 from colloq.session import table
 
@@ -39,6 +40,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select("turn_id", "file_id", F.col("point_id").alias("word_ord")).distinct()
 
 
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speaker_turns(table(spark, sf_dir, "segments"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_turns(spark, sf_dir).select("file_id", "speaker", F.col("first_id").alias("first_segment_id"), F.col("last_id").alias("last_segment_id")).distinct()
+
+
 def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -51,6 +60,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
     "p3_found": p3_found,
+    "p6_found": p6_found,
+    "p6_turns": p6_turns,
     "p9_found": p9_found,
     "p9_repaired": p9_repaired,
 }
