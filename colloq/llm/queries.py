@@ -9,6 +9,7 @@ from colloq.functions.text import is_blank, is_finite, to_ms
 from colloq.llm.cooccurrence import associated_pairs, basket_items
 from colloq.llm.encoding import repair_texts
 from colloq.llm.nearest import nearest_in_time
+from colloq.llm.sentences import fit_sentence_model, split_sentences
 from colloq.llm.turns import speaker_turns
 from colloq.plans.intervals import USABLE_TURNS_SQL, sql_trim, usable_turns
 from colloq.session import table
@@ -40,6 +41,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select("turn_id", "file_id", F.col("point_id").alias("word_ord")).distinct()
 
 
+def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    utterances = table(spark, sf_dir, "utterances").select(F.lit("utterances").alias("src"), F.col("utt_id").alias("rec_id"), "text")
+    statements = table(spark, sf_dir, "statements").select(F.lit("statements").alias("src"), F.col("stmt_no").alias("rec_id"), "text")
+    texts = utterances.unionByName(statements)
+    return split_sentences(texts, ["src", "rec_id"], "text", fit_sentence_model(texts, "text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_sentences(spark, sf_dir).select("src", "rec_id", "start_char", "end_char").distinct()
+
+
 def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_turns(table(spark, sf_dir, "segments"))
 
@@ -60,6 +72,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_sentences": p5_sentences,
     "p6_found": p6_found,
     "p6_turns": p6_turns,
     "p9_found": p9_found,
