@@ -163,7 +163,8 @@ def _after_quote(line: str, s: Spot, start: int, kind: str) -> bool:
         return False
     rest = line[s.after : s.after + 16]
     alone = s.opener <= start
-    if kind == "l" or rest[0] in ",，、;:；：)）":
+    japanese = line[s.opener] in "「『｢（" or bool(re.search("[\u3040-\u30ff]", line))
+    if kind == "l" and not japanese or rest[0] in ",，、;:；：)）":
         return False
     if kind == "g":
         return bool(s.blank) and alone
