@@ -9,6 +9,7 @@ from colloq.functions.text import is_blank, is_finite, to_ms
 from colloq.llm.cooccurrence import associated_pairs, basket_items
 from colloq.llm.encoding import repair_texts
 from colloq.llm.nearest import nearest_in_time
+from colloq.llm.personal import name_parts, personal_information
 from colloq.llm.sentences import fit_sentence_model, split_sentences
 from colloq.llm.turns import speaker_turns
 from colloq.plans.intervals import USABLE_TURNS_SQL, sql_trim, usable_turns
@@ -41,6 +42,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select("turn_id", "file_id", F.col("point_id").alias("word_ord")).distinct()
 
 
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = table(spark, sf_dir, "segments").select(F.lit("segments").alias("src"), F.col("segment_id").alias("rec_id"), "text")
+    utterances = table(spark, sf_dir, "utterances").select(F.lit("utterances").alias("src"), F.col("utt_id").alias("rec_id"), "text")
+    return personal_information(segments.unionByName(utterances), ["src", "rec_id"], "text", name_parts(table(spark, sf_dir, "roster")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p4_redacted(spark, sf_dir).select("src", "rec_id", F.explode("mentions").alias("m"))
+    return found.select("src", "rec_id", "m.pii_type", "m.start_char", "m.end_char").distinct()
+
+
 def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     utterances = table(spark, sf_dir, "utterances").select(F.lit("utterances").alias("src"), F.col("utt_id").alias("rec_id"), "text")
     statements = table(spark, sf_dir, "statements").select(F.lit("statements").alias("src"), F.col("stmt_no").alias("rec_id"), "text")
@@ -72,6 +84,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_sentences": p5_sentences,
     "p6_found": p6_found,
