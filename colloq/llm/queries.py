@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from colloq.functions.text import is_blank, is_finite, to_ms
 from colloq.llm.cooccurrence import associated_pairs, basket_items
 from colloq.llm.encoding import repair_texts
+from colloq.llm.mixing import Mixture, normal_source
 from colloq.llm.nearest import nearest_in_time
+from colloq.llm.packing import fills, pack
 from colloq.llm.personal import name_parts, personal_information
 from colloq.llm.sentences import fit_sentence_model, split_sentences
+from colloq.llm.tokens import count_tokens
 from colloq.llm.turns import speaker_turns
 from colloq.plans.intervals import USABLE_TURNS_SQL, sql_trim, usable_turns
 from colloq.session import table
@@ -72,6 +75,34 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_turns(spark, sf_dir).select("file_id", "speaker", F.col("first_id").alias("first_segment_id"), F.col("last_id").alias("last_segment_id")).distinct()
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [(r.bin_kind, r.capacity_tokens) for r in table(spark, sf_dir, "bin_sizes").distinct().limit(1001).collect()]
+    return pack(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "tokens", kinds)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fills(p7_containers(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    documents = table(spark, sf_dir, "documents").withColumn("source_name", normal_source("source"))
+    sized = count_tokens(documents.withColumn("k", F.struct("doc_id", "source_name")), "k", "text").select("k.doc_id", "k.source_name", "tokens")
+    targets = [(r.source, r.target_share, r.max_repeats) for r in table(spark, sf_dir, "source_targets").distinct().limit(10_001).collect()]
+    return Mixture(sized, "doc_id", "source_name", "tokens", targets)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).records()
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).shares()
+
+
+def p8_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).order(block=8192)
+
+
 def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -90,6 +121,11 @@ QUERIES = {
     "p5_sentences": p5_sentences,
     "p6_found": p6_found,
     "p6_turns": p6_turns,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p8_order": p8_order,
     "p9_found": p9_found,
     "p9_repaired": p9_repaired,
 }
