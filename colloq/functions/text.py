@@ -35,3 +35,44 @@ def to_ms(c: Column | str) -> Column:
 def clamp01(c: Column) -> Column:
     """``c`` cut to 0..1; NaN counts as 0."""
     return F.when(F.isnan(c), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
+
+
+def format_timestamp(seconds: Column) -> Column:
+    """``[HH:]MM:SS.mmm``, hours only where there are any; milliseconds are rounded half to even."""
+    ms = F.bround(seconds * 1000.0).cast("bigint")
+    part = lambda unit, size: F.floor(ms / F.lit(unit)) % F.lit(size)
+    hours = F.floor(ms / F.lit(3_600_000))
+    short = F.format_string("%02d:%02d.%03d", part(60_000, 60), part(1000, 60), ms % 1000)
+    return F.when(hours > 0, F.concat(F.format_string("%02d:", hours), short)).otherwise(short)
+
+
+def minute_stamp(seconds: Column) -> Column:
+    """``[MM:SS]``, whole seconds, minutes without bound."""
+    s = F.floor(seconds).cast("bigint")
+    return F.format_string("[%02d:%02d]", F.floor(s / 60), s % 60)
+
+
+def path_stem(path: Column) -> Column:
+    """The last part of a path without its last suffix (a leading dot begins no suffix)."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def is_valid_id(c: Column | str, longest: int = 120) -> Column:
+    """True for a text of 1 to ``longest`` characters once trimmed."""
+    return F.coalesce(F.length(strip(c)).between(1, longest), F.lit(False))
+
+
+def is_plain_path(c: Column | str) -> Column:
+    """False for names that leave their folder."""
+    c = F.col(c) if isinstance(c, str) else c
+    return ~(c.contains("/") | c.contains("\\") | (c == "..") | (c == ".") | (c == ""))
+
+
+def token_budget(seconds: Column, per_second: float = 13.0) -> Column:
+    """How many tokens a stretch of speech may have: at least one."""
+    return F.greatest(F.lit(1), F.ceil(seconds * F.lit(per_second))).cast("int")
+
+
+def edge_key(a: Column, b: Column) -> tuple[Column, Column]:
+    """The two ends of an undirected edge in order."""
+    return F.least(a, b), F.greatest(a, b)

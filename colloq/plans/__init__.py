@@ -7,5 +7,6 @@ import pkgutil
 
 
 def modules() -> list:
-    """The modules of this package, each with ``QUERIES`` and ``SQL``."""
-    return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__)]
+    """The modules of this package that have queries: ``QUERIES`` and ``SQL``."""
+    found = [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__)]
+    return [m for m in found if hasattr(m, "QUERIES")]
