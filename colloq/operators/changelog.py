@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colloq.functions.text import path_stem
 
 # Order of processing states; others come last.
-STATE_ORDER = {"PROCESSING": 0, "QUEUED": 1, "ERROR": 2, "DONE": 3}
+STATE_ORDER = {"PROCESSING": 0, "QUEUED": 1, "PENDING": 1, "ERROR": 2, "DONE": 3}
 
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -24,7 +24,8 @@ class SegmenterOptions:
 
     def frames(self) -> tuple[int, int, int, int]:
         """Silence that ends an utterance, least speech, longest utterance and preroll, in frames."""
-        return max(1, self.silence_ms // FRAME_MS), max(1, self.least_ms // FRAME_MS), max(1, int(self.longest_s * 1000) // FRAME_MS), max(0, self.preroll_ms // FRAME_MS)
+        least = max(1, int(self.least_ms / FRAME_MS))
+        return max(1, int(self.silence_ms / FRAME_MS)), least, max(least + 1, int(self.longest_s * 1000 / FRAME_MS)), max(0, int(self.preroll_ms / FRAME_MS))
 
 
 @dataclass
