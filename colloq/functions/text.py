@@ -38,12 +38,13 @@ def clamp01(c: Column) -> Column:
 
 
 def format_timestamp(seconds: Column) -> Column:
-    """``[HH:]MM:SS.mmm``, hours only where there are any; milliseconds are rounded half to even."""
+    """``[HH:]MM:SS.mmm``, hours only where there are any; milliseconds are rounded half to even. Parts of a negative
+    time count up from a negative hour."""
     ms = F.bround(seconds * 1000.0).cast("bigint")
-    part = lambda unit, size: F.floor(ms / F.lit(unit)) % F.lit(size)
+    part = lambda unit, size: F.pmod(F.floor(ms / F.lit(unit)), F.lit(size))
     hours = F.floor(ms / F.lit(3_600_000))
-    short = F.format_string("%02d:%02d.%03d", part(60_000, 60), part(1000, 60), ms % 1000)
-    return F.when(hours > 0, F.concat(F.format_string("%02d:", hours), short)).otherwise(short)
+    short = F.format_string("%02d:%02d.%03d", part(60_000, 60), part(1000, 60), F.pmod(ms, F.lit(1000)))
+    return F.when(hours != 0, F.concat(F.format_string("%02d:", hours), short)).otherwise(short)
 
 
 def minute_stamp(seconds: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloq.functions.text import is_finite, strip, to_ms
 from colloq.operators.intervals import merge_intervals
+from colloq.plans.sql import sql_trim
 from colloq.session import table
 
 
@@ -30,14 +31,6 @@ def p2_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaking_periods(table(spark, sf_dir, "turns"))
 
 
-# White space for a trim in SQL, as the regex engine there writes it.
-_TRIM = r"regexp_replace({0}, '^[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+|[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+$', '', 'g')"
-
-
-def sql_trim(expression: str) -> str:
-    return _TRIM.format(expression)
-
-
 USABLE_TURNS_SQL = f"""
   SELECT DISTINCT turn_id, file_id, upper({sql_trim('speaker')}) AS speaker,
          CAST(round(start_s * 1000) AS BIGINT) AS a, CAST(round(end_s * 1000) AS BIGINT) AS b
