@@ -15,7 +15,8 @@ from colloq.llm.personal import name_parts, personal_information
 from colloq.llm.sentences import fit_sentence_model, split_sentences
 from colloq.llm.tokens import count_tokens
 from colloq.llm.turns import speaker_turns
-from colloq.plans.intervals import USABLE_TURNS_SQL, sql_trim, usable_turns
+from colloq.plans.intervals import USABLE_TURNS_SQL, usable_turns
+from colloq.plans.sql import sql_trim
 from colloq.session import table
 
 
