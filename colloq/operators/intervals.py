@@ -114,6 +114,8 @@ def merge_intervals(
     ``bucket`` is the width of a time bucket and ``held`` the intervals a task keeps before passing them on; neither
     changes the result.
     """
+    if clash := {"kind", "from_t", "to_t", "n", "bucket"} & set(keys):
+        raise ValueError(f"rename the keys {sorted(clash)}: the result has columns of these names")
     types = {f.name: f.dataType for f in df.schema.fields}
     ident = [identity.alias("__id")] if identity is not None else []
     rows = df.select(*[F.col(k) for k in keys], start.cast("bigint").alias("from_t"), end.cast("bigint").alias("to_t"), *ident)
