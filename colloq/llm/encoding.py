@@ -346,11 +346,11 @@ def repair_texts(docs: DataFrame, ident: str, text: str, *, least_witnesses: int
     """Texts that hold characters from a wrong reading, with what could be restored.
 
     Result, for affected rows only: ``ident``, ``repaired``, ``rules`` (transformations undone, in order) and
-    ``complete`` (nothing unreadable is left). Null and empty texts are not affected; repeated rows come out once.
+    ``complete`` (nothing unreadable is left). Null and empty texts and rows with a null ``ident`` are not affected; repeated rows come out once.
     The character counts and the witness counts go to the driver: at most one row for each code point and for each
     pair of encodings. ``least_witnesses``: pairs of lines a transformation must explain to be used.
     """
-    source = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__text")).filter(F.length("__text") > 0)
+    source = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__text")).filter(F.col("__id").isNotNull() & (F.length("__text") > 0))
     counted = source.agg(F.count("*")).first()[0]
     plausible = Plausibility({r.ch: r.n for r in character_counts(source, "__text").collect()}, counted)
     learned = learn_rules(source, "__text", plausible).filter(F.col("witnesses") >= least_witnesses).collect()

@@ -43,8 +43,9 @@ def nearest_in_time(queries: DataFrame, points: DataFrame, entity: str, query_at
     Times are BIGINT in one unit; a point may have several (its distance is the smallest). A query without a point
     within ``tolerance`` is left out; of points equally near, the one with the smallest ``rank``, then ``ident`` (both
     BIGINT) is taken. Rows with a null entity or time match nothing. Result: the queries' columns, ``point_id`` and
-    ``distance``; repeated query rows stay repeated. ``width``: of a time range; it doesn't change the result.
+    ``distance``; repeated query rows stay repeated; columns of these names in the input are replaced. ``width``: of a time range; it doesn't change the result.
     """
+    queries = queries.drop("point_id", "distance")
     kind = points.schema[entity].dataType
     mark = queries.withColumn("__entity", F.col(entity).cast(kind)).withColumn("__at", query_at.cast("bigint"))
     asked = mark.select("__entity", "__at").dropna().distinct().withColumn("__range", F.floor(F.col("__at") / F.lit(width)))

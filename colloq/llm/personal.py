@@ -270,7 +270,7 @@ def personal_information(df: DataFrame, keys: list[str], text: str, names: Names
     """Rows of ``df`` that mention personal information: the keys, ``redacted`` and ``mentions``, an array of
     (``pii_type``, ``start_char``, ``end_char``, ``pseudonym``) in order.
 
-    Positions count code points, the end is exclusive. Null and empty texts and texts without a mention give no row;
+    Positions count code points, the end is exclusive. Null and empty texts, texts without a mention and rows with a null key give no row;
     repeated rows stay repeated. ``key``: the secret that pseudonyms depend on.
     """
 
@@ -285,4 +285,4 @@ def personal_information(df: DataFrame, keys: list[str], text: str, names: Names
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kinds}, redacted string, mentions array<struct<pii_type: string, start_char: int, end_char: int, pseudonym: string>>"
-    return df.filter(F.length(text) > 0).select(*keys, text).mapInPandas(scan, schema)
+    return df.filter(F.length(text) > 0).select(*keys, text).dropna(subset=keys).mapInPandas(scan, schema)

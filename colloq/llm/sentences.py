@@ -15,6 +15,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,6 +89,17 @@ class Spot:
     after: int
 
 
+@lru_cache(maxsize=16)
+def _scripts(line: str) -> tuple[bool, bool]:
+    """Whether a line holds kana, and whether it holds Chinese characters."""
+    return bool(re.search("[\u3040-\u30ff]", line)), bool(re.search("[\u3400-\u9fff]", line))
+
+
+def _before(line: str, at: int, most: int = 200) -> str:
+    """The last non-blank character before ``at``, looking back a bounded way."""
+    return line[max(0, at - most) : at].rstrip()[-1:]
+
+
 def _spots(line: str) -> list[Spot]:
     pairs = _match_pairs(line)
     inside = bytearray(len(line) + 1)
@@ -163,7 +175,7 @@ def _after_quote(line: str, s: Spot, start: int, kind: str) -> bool:
         return False
     rest = line[s.after : s.after + 16]
     alone = s.opener <= start
-    japanese = line[s.opener] in "「『｢（" or bool(re.search("[\u3040-\u30ff]", line))
+    japanese = line[s.opener] in "「『｢（" or _scripts(line)[0]
     if kind == "l" and not japanese or rest[0] in ",，、;:；：)）":
         return False
     if kind == "g":
@@ -178,7 +190,7 @@ def _after_quote(line: str, s: Spot, start: int, kind: str) -> bool:
         if rest[0] in "「『｢" and line[s.opener] in "「『｢":
             return s.mark[-1] not in "？?"
         return True
-    if re.search("[㐀-鿿]", line) and not s.blank:
+    if _scripts(line)[1] and not s.blank:
         return not (alone and SAYS_ZH.match(rest))
     return True
 
@@ -210,7 +222,7 @@ _FINAL_JA = re.compile(r"(?:です|ます|ました|でした|ません|まし
 
 
 def _at_blank(line: str, s: Spot) -> bool:
-    before = line[: s.at + 1]
+    before = line[max(0, s.at - 15) : s.at + 1]
     if before.endswith(THAI_FINAL):
         return True
     if not s.blank:
@@ -219,7 +231,7 @@ def _at_blank(line: str, s: Spot) -> bool:
 
 
 def _features(line: str, s: Spot) -> list[str]:
-    before, nxt = line[max(0, s.at - 3) : s.at + 1], line[s.after : s.after + 4]
+    before, nxt = line[max(0, s.at - 7) : s.at + 1], line[s.after : s.after + 4]
     kind = _kind(nxt[0])
     blank = "n" if not s.blank else "3" if "　" in s.blank else "2" if len(s.blank) > 1 else "1"
     dot = set(s.mark) == {"."}
@@ -227,7 +239,7 @@ def _features(line: str, s: Spot) -> list[str]:
     head = line[s.at - len(s.mark)] if s.mark and s.opener < 0 and s.at >= len(s.mark) else line[s.at]
     hk = _kind(head)
     quote = line[s.opener] if s.opener >= 0 else ""
-    prior = line[: s.opener].rstrip()[-1:] if s.opener >= 0 else ""
+    prior = _before(line, s.opener) if s.opener >= 0 else ""
     alone = "" if s.opener < 0 else "s" if not prior else "e" if prior in ENDERS or prior in CLOSERS else ":" if prior in ":：,，、" else "m"
     out = [
         "b",
@@ -253,7 +265,7 @@ def _features(line: str, s: Spot) -> list[str]:
         out.append(f"D{len(s.mark)}|{len(word) == 1 and word.isalpha()}|{word in ABBREVIATIONS}|{word in FINAL_TOO}|{'.' in word}|{kind}|{hk in 'gdacht'}|{dated}")
         out += [f"w{word[-8:]}|{kind in 'l'}", f"a{word in ABBREVIATIONS}|{word in FINAL_TOO}|{kind}|{blank}", f"i{len(word) == 1 and word.isalpha()}|{kind}", f"d{word.isdigit() and len(word) < 3}|{kind}|{bool(re.search(r'(?:am|vom|zum) \d{1,2}$', line[max(0, s.at - 8) : s.at]))}", f"ab{word in ABBREVIATIONS and word not in FINAL_TOO}", f"abc{bool(re.fullmatch(r'(?:[^\W\d_]\.)+[^\W\d_]', word))}|{kind}"]
     if not mark:
-        out += [f"x1{before[-1:]}|{blank}", f"x2{before[-2:]}|{blank}", f"x3{before[-3:]}|{blank}", f"x4{before[-4:]}", f"x2{before[-2:]}|{nxt[:1]}", f"xk{hk}|{kind}|{blank}", f"f{bool(_FINAL_JA.search(line[max(0, s.at - 6) : s.at + 1]))}|{kind}|{blank}", f"th{line[: s.at + 1].endswith(THAI_FINAL)}|{blank}"]
+        out += [f"x1{before[-1:]}|{blank}", f"x2{before[-2:]}|{blank}", f"x3{before[-3:]}|{blank}", f"x4{before[-4:]}", f"x2{before[-2:]}|{nxt[:1]}", f"xk{hk}|{kind}|{blank}", f"f{bool(_FINAL_JA.search(line[max(0, s.at - 6) : s.at + 1]))}|{kind}|{blank}", f"th{before.endswith(THAI_FINAL)}|{blank}"]
     return out
 
 
@@ -380,8 +392,8 @@ def fit_sentence_model(texts: DataFrame, text: str, sample: int = 6000) -> Chain
 def split_sentences(df: DataFrame, keys: list[str], text: str, model: ChainModel) -> DataFrame:
     """One row per sentence: the keys, ``sent_ord`` (from 0), ``start_char``, ``end_char`` and ``sentence``.
 
-    Positions count code points, the end is exclusive. Null and blank texts have no sentences; a line break always
-    ends one; repeated rows give repeated sentences. Other columns are dropped.
+    Positions count code points, the end is exclusive. Null and blank texts and rows with a null key have no sentences;
+    a line break always ends one; repeated rows give repeated sentences. Other columns are dropped.
     """
     weights = model.weights
 
@@ -394,4 +406,4 @@ def split_sentences(df: DataFrame, keys: list[str], text: str, model: ChainModel
             yield pd.DataFrame(out, columns=[*keys, "sent_ord", "start_char", "end_char", "sentence"])
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.filter(F.length(text) > 0).select(*keys, text).mapInPandas(cut, f"{kinds}, sent_ord int, start_char int, end_char int, sentence string")
+    return df.filter(F.length(text) > 0).select(*keys, text).dropna(subset=keys).mapInPandas(cut, f"{kinds}, sent_ord int, start_char int, end_char int, sentence string")

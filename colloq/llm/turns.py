@@ -120,7 +120,7 @@ def cluster_labels(labels: list[tuple[str, int]], least_similarity: float = 0.84
     for name, _ in sorted(labels):
         block = name if name.startswith("SPEAKER_") else "".join(w[0] for w in re.split(r"[\W_]+", name.casefold()) if w)
         for other in blocks.setdefault(block, []):
-            if find(other) != find(name) and (folded[name] == folded[other] or SequenceMatcher(None, folded[name], folded[other]).ratio() >= least_similarity):
+            if find(other) != find(name) and (folded[name] == folded[other] or max(len(name), len(other)) <= 200 and SequenceMatcher(None, folded[name], folded[other]).ratio() >= least_similarity):
                 parent[find(name)] = find(other)
         blocks[block].append(name)
     count = dict(labels)
