@@ -131,7 +131,7 @@ def speech_islands(frames: DataFrame, threshold: float = 0.5, silence: int = 15,
     """Utterances without preroll or longest length, as plain SQL: ``session``, ``utterance_id``, ``first_frame``,
     ``close_frame``, ``speech_frames``, ``kind``. Frames count from 1; a new one begins after ``silence`` frames without speech."""
     total = frames.groupBy("session").agg(F.max("frame_no").alias("total"))
-    speech = frames.filter(F.col("probability") >= threshold)
+    speech = frames.filter((F.col("probability") >= threshold) & ~F.isnan("probability"))
     w = W.partitionBy("session").orderBy("frame_no")
     rows = speech.withColumn("prev", F.lag("frame_no").over(w)).withColumn("u", F.sum(F.when(F.col("prev").isNull() | (F.col("frame_no") - F.col("prev") > silence), 1).otherwise(0)).over(w))
     out = rows.groupBy("session", F.col("u").alias("utterance_id")).agg(F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last"), F.count("*").alias("speech_frames")).join(total, "session")
