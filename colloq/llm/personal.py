@@ -83,7 +83,7 @@ class Names:
             if not fam and not giv:
                 continue
             before = f"(?<![{guard}])" if guard else r"(?<!コーポ)(?<!メゾン)(?<!ハイツ)(?<!ビル)(?<!市)(?<!県)(?<!町)"
-            after = f"(?![{guard}])" if guard else r"(?!通\d|通[0-9０-９一二三四五六七八九]|町|市|県|区|坂[0-9０-９]|ビル|丁目|駅)"
+            after = f"(?![{guard}])" if guard else r"(?!通(?!知|信|話|り|常|過)|町|市|県|区|坂[0-9０-９]|ビル|丁目|駅)"
             forms = [f"(?:{any_of(fam)})[ 　・]?(?:{any_of(giv)})", f"(?:{any_of(fam)})", f"(?:{any_of(giv)})"] if fam and giv else [f"(?:{any_of(fam or giv)})"]
             out.append(re.compile(f"{before}(?:{'|'.join(forms)}){after}"))
             out.append(re.compile(rf"(?<!{cls})(?:{cls}{{1,8}}[ 　・]{cls}{{1,8}})(?={honor})"))
