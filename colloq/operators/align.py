@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,50 +42,53 @@ def clean_turns(turns: DataFrame, least_seconds: float = 0.0) -> DataFrame:
     return turns.filter(is_finite("start_s") & is_finite("end_s") & (F.col("end_s") - F.col("start_s") >= least_seconds))
 
 
+WORD = ["file_id", "word_ord", "text", "ws", "we"]
+
+
+def _rank(overlap: Column, gap: Column, ts: str, te: str, speaker: str) -> Column:
+    """What turns are compared by: most overlap, smallest gap, then the first by (start, end, speaker)."""
+    return F.struct((-overlap - F.lit(0.0)).alias("o"), gap.alias("g"), F.col(ts).alias("ts"), F.col(te).alias("te"), F.col(speaker).alias("speaker"))
+
+
 def _touching(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """Word by word, the best turn among those that overlap or touch it. Each turn lies in at most two buckets of its
-    level, and words look only at levels and stretches where their recording has turns."""
+    """Words with each turn that overlaps or touches them. A turn lies in at most two buckets of its level, and words
+    look only at levels and stretches where their recording has turns."""
     level = F.expr("CASE " + " ".join(f"WHEN te - ts <= {w!r}D THEN {k}" for k, w in enumerate(LEVELS)) + f" ELSE {len(LEVELS)} END")
     width = F.element_at(F.array(*[F.lit(w) for w in LEVELS], F.lit(float("inf"))), F.col("level") + 1)
     t = turns.withColumn("level", level).withColumn("width", width)
     reach = t.groupBy("file_id", "level", "width").agg(F.min("ts").alias("lo"), F.max("te").alias("hi"))
     cell = lambda c: F.floor(c / F.col("width")).cast("bigint")
     t = t.withColumn("cell", F.explode(F.sequence(cell(F.col("ts")), cell(F.col("te")))))
-    probe = words.select("file_id", "word_ord", "ws", "we").join(reach, "file_id").filter("we >= lo AND ws <= hi")
+    probe = words.join(reach, "file_id").filter("we >= lo AND ws <= hi")
     probe = probe.withColumn("cell", F.explode(F.sequence(cell(F.greatest("ws", "lo")), cell(F.least("we", "hi")))))
     pairs = probe.join(t.select("file_id", "level", "cell", "ts", "te", "speaker"), ["file_id", "level", "cell"]).filter("we >= ts AND ws <= te")
-    overlap = F.least("we", "te") - F.greatest("ws", "ts")
-    best = F.min(F.struct((-overlap - F.lit(0.0)).alias("o"), "ts", "te", "speaker"))
-    return pairs.groupBy("file_id", "word_ord", "ws", "we").agg(best.alias("best")).select("file_id", "word_ord", "ws", "we", F.col("best.speaker").alias("speaker"))
+    return pairs.select(*WORD, _rank(F.least("we", "te") - F.greatest("ws", "ts"), F.lit(0.0), "ts", "te", "speaker").alias("r"))
 
 
 def _neighbours(words: DataFrame, turns: DataFrame, bucket: float = 3600.0) -> DataFrame:
-    """For words that touch no turn: the nearer of the last turn before and the first one after."""
-    at = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("bigint")
-    ended = turns.groupBy("file_id", "te").agg(F.min(F.struct("ts", "te", "speaker")).alias("t")).select("file_id", F.col("te").alias("time"), "t", F.lit(0).alias("kind"))
-    begun = turns.groupBy("file_id", "ts").agg(F.min(F.struct("ts", "te", "speaker")).alias("t")).select("file_id", F.col("ts").alias("time"), "t", F.lit(0).alias("kind"))
-    none = F.lit(None).cast(ended.schema["t"].dataType)
-
-    def sweep(events: DataFrame, asked: str, forward: bool) -> DataFrame:
-        asks = words.select("file_id", F.col(asked).alias("time"), none.alias("t"), F.lit(1).alias("kind"), "word_ord", "ws", "we")
-        both = events.unionByName(asks, allowMissingColumns=True).withColumn("bucket", at("time"))
-        pick = F.last if forward else F.first
-        edge = F.max if forward else F.min
-        carried = both.filter("kind = 0").groupBy("file_id", "bucket").agg(edge(F.struct("time", "t"))["t"].alias("c")).union(asks.select("file_id", F.floor(F.col("time") / F.lit(bucket)).cast("bigint"), none).distinct())
-        carried = carried.toDF("file_id", "bucket", "c").groupBy("file_id", "bucket").agg(F.max("c").alias("c"))
-        over = W.partitionBy("file_id").orderBy("bucket")
-        span = over.rowsBetween(W.unboundedPreceding, -1) if forward else over.rowsBetween(1, W.unboundedFollowing)
-        carried = carried.withColumn("c", pick("c", ignorenulls=True).over(span))
-        here = W.partitionBy("file_id", "bucket").orderBy("time", "kind")
-        rows = here.rowsBetween(W.unboundedPreceding, 0) if forward else here.rowsBetween(0, W.unboundedFollowing)
-        found = both.join(carried, ["file_id", "bucket"], "left").withColumn("n", F.coalesce(pick("t", ignorenulls=True).over(rows), F.col("c")))
-        return found.filter("kind = 1").select("file_id", "word_ord", "ws", "we", "n")
-
-    key = ["file_id", "word_ord", "ws", "we"]
-    pairs = sweep(ended, "ws", True).unionByName(sweep(begun, "we", False)).filter("n IS NOT NULL")
-    gap = F.greatest(F.col("n.ts") - F.col("we"), F.col("ws") - F.col("n.te"))
-    best = F.min(F.struct(gap.alias("gap"), F.col("n.ts").alias("ts"), F.col("n.te").alias("te"), F.col("n.speaker").alias("speaker")))
-    return pairs.groupBy(*key).agg(best.alias("best")).select(*key, F.col("best.speaker").alias("speaker"))
+    """Words with the last turn that ends before them and the first one that begins after them, without the words that
+    have none. Each is found in a window over one stretch of time of a recording; what lies in earlier or later
+    stretches comes from one row for each of them."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("bigint")
+    pair = F.struct("ts", "te", "speaker")
+
+    def sweep(edge: str, asked: str, forward: bool) -> DataFrame:
+        events = turns.groupBy("file_id", F.col(edge).alias("time")).agg(F.min(pair).alias("t")).withColumn("cell", cell("time"))
+        asks = words.withColumn("time", F.col(asked)).withColumn("cell", cell("time"))
+        last = events.groupBy("file_id", "cell").agg((F.max_by if forward else F.min_by)("t", "time").alias("c"))
+        cells = last.unionByName(asks.select("file_id", "cell").distinct(), allowMissingColumns=True).groupBy("file_id", "cell").agg(F.max("c").alias("c"))
+        # Backwards is forwards in descending order: a frame to the end of the window would be summed anew for each row.
+        way = F.asc if forward else F.desc
+        order = W.partitionBy("file_id").orderBy(way("cell")).rowsBetween(W.unboundedPreceding, -1)
+        cells = cells.select("file_id", "cell", F.last("c", ignorenulls=True).over(order).alias("c")).filter("c IS NOT NULL")
+        here = W.partitionBy("file_id", "cell").orderBy(way("time"), F.col("word_ord").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+        both = events.unionByName(asks, allowMissingColumns=True).withColumn("n", F.last("t", ignorenulls=True).over(here)).filter("word_ord IS NOT NULL")
+        return both.join(cells, ["file_id", "cell"], "left").select(*WORD, F.coalesce("n", "c").alias("n")).filter("n IS NOT NULL")
+
+    pairs = sweep("te", "ws", True).unionByName(sweep("ts", "we", False))
+    gap = F.greatest(F.lit(0.0), F.col("n.ts") - F.col("we"), F.col("ws") - F.col("n.te"))
+    overlap = F.greatest(F.lit(0.0), F.least("we", "n.te") - F.greatest("ws", "n.ts"))
+    return pairs.select(*WORD, _rank(overlap, gap, "n.ts", "n.te", "n.speaker").alias("r"))
 
 
 def assign_speakers(words: DataFrame, turns: DataFrame, *, least_seconds: float = 0.0, fallback: str = "SPEAKER_00") -> DataFrame:
@@ -94,16 +97,15 @@ def assign_speakers(words: DataFrame, turns: DataFrame, *, least_seconds: float
 
     ``words``: ``file_id``, ``word_ord`` (unique in the recording), ``text``, ``start_s``, ``end_s``; ``turns``:
     ``file_id``, ``speaker``, ``start_s``, ``end_s``. Words of a recording without usable turns get ``fallback``.
-    Identical rows count once; turns without a speaker are left out. Result: the words' columns, cleaned, and ``speaker``.
+    Identical rows count once; turns without a speaker and words without an ordinal are left out. Result: the words' columns, cleaned, and ``speaker``.
     """
-    w = clean_words(words.select("file_id", "word_ord", "text", "start_s", "end_s").distinct())
+    w = clean_words(words.select("file_id", "word_ord", "text", "start_s", "end_s").filter("word_ord IS NOT NULL").distinct())
     t = clean_turns(turns, least_seconds).filter("speaker IS NOT NULL").select("file_id", F.col("start_s").alias("ts"), F.col("end_s").alias("te"), "speaker").distinct()
-    asked = w.select("file_id", "word_ord", F.col("start_s").alias("ws"), F.col("end_s").alias("we"))
-    touching = _touching(asked, t)
-    key = ["file_id", "word_ord", "ws", "we"]
-    rest = asked.join(touching.select(*key), key, "left_anti")
-    found = touching.unionByName(_neighbours(rest, t)).withColumnsRenamed({"ws": "start_s", "we": "end_s"})
-    return w.join(found, ["file_id", "word_ord", "start_s", "end_s"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(fallback)))
+    asked = w.withColumnsRenamed({"start_s": "ws", "end_s": "we"}).select(*WORD)
+    far = F.lit(float("inf"))
+    none = asked.withColumns({"ts": far, "te": far, "speaker": F.lit(fallback)}).select(*WORD, _rank(-far, far, "ts", "te", "speaker").alias("r"))
+    best = _touching(asked, t).unionByName(_neighbours(asked, t)).unionByName(none).groupBy(*WORD).agg(F.min("r")["speaker"].alias("speaker"))
+    return best.withColumnsRenamed({"ws": "start_s", "we": "end_s"})
 
 
 def speaker_segments(assigned: DataFrame, *, bucket: float = 600.0) -> DataFrame:

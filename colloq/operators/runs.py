@@ -18,14 +18,19 @@ def mark_runs(df: DataFrame, keys: list[str], bucket: str, order: list[str], lab
     place = [*keys, bucket]
     here = W.partitionBy(*place).orderBy(*order)
     upto = here.rowsBetween(W.unboundedPreceding, W.currentRow)
-    earlier = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     at = F.struct(*order)
-    last = df.groupBy(*place).agg(F.max(F.when(F.col(label).isNotNull(), F.struct(at.alias("at"), F.col(label).alias("label")))).alias("__last"))
-    last = last.withColumn("__carried", F.last("__last.label", ignorenulls=True).over(earlier)).drop("__last")
-    rows = df.join(last, place).withColumn("label_filled", F.coalesce(F.last(label, ignorenulls=True).over(upto), F.col("__carried")))
-    before = F.coalesce(F.lag("label_filled").over(here), F.col("__carried"))
-    rows = rows.withColumn("__first", F.when(F.col("label_filled").isNotNull() & ~F.col("label_filled").eqNullSafe(before), at))
-    starts = rows.groupBy(*place).agg(F.max("__first").alias("__start"))
-    starts = starts.withColumn("__open", F.last("__start", ignorenulls=True).over(earlier)).drop("__start")
-    rows = rows.join(starts, place).withColumn("run", F.coalesce(F.last("__first", ignorenulls=True).over(upto), F.col("__open")))
-    return rows.drop("__carried", "__first", "__open")
+    # Runs as they look within a bucket: the first of them may be the end of one that began before.
+    rows = df.withColumn("__label", F.last(label, ignorenulls=True).over(upto))
+    rows = rows.withColumn("__first", F.when(F.col("__label").isNotNull() & ~F.col("__label").eqNullSafe(F.lag("__label").over(here)), at))
+    rows = rows.withColumn("__start", F.last("__first", ignorenulls=True).over(upto))
+    one = rows.groupBy(*place).agg(F.max_by("__label", at).alias("__end"), F.min(F.when(F.col("__first").isNotNull(), F.struct(F.col("__first").alias("at"), F.col("__label").alias("label")))).alias("__head"), F.max("__first").alias("__tail"))
+    earlier = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    one = one.withColumn("__carried", F.last("__end", ignorenulls=True).over(earlier))
+    one = one.withColumn("__goes_on", F.coalesce(F.col("__head.label") == F.col("__carried"), F.lit(False)))
+    begun = F.when(~(F.col("__goes_on") & (F.col("__tail") == F.col("__head.at"))), F.col("__tail"))
+    one = one.withColumn("__begun", begun).withColumn("__open", F.last("__begun", ignorenulls=True).over(earlier))
+    one = one.select(*place, "__carried", "__goes_on", F.col("__head.at").alias("__head_at"), "__open")
+    rows = rows.join(one, place)
+    old = F.col("__start").isNull() | (F.col("__goes_on") & (F.col("__start") == F.col("__head_at")))
+    rows = rows.withColumn("label_filled", F.coalesce("__label", "__carried")).withColumn("run", F.when(old, F.col("__open")).otherwise(F.col("__start")))
+    return rows.drop("__label", "__first", "__start", "__carried", "__goes_on", "__head_at", "__open")
