@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloq.functions.text import edge_key, is_valid_id
+from colloq.functions.text import edge_key, is_valid_id, strip
 
 # How much an overlay may hold.
 LIMITS = {"nodes": 100, "edges": 250, "hidden": 250}
@@ -78,3 +78,43 @@ def next_revision(stored: int, expected: int) -> int:
     if stored != expected:
         raise ValueError(f"the edits have changed: revision {stored}, not {expected}")
     return stored + 1
+
+
+# What ids of users' own statements and relations begin with, and how long a statement may be.
+OWN_STATEMENT, OWN_RELATION, LONGEST_TEXT = "u:", "ur:", 2000
+
+
+def structure_violations(base_statements: DataFrame, base_relations: DataFrame, statements: DataFrame, relations: DataFrame, hidden_statements: DataFrame, hidden_relations: DataFrame, types: tuple[str, ...], limits: dict[str, int] | None = None) -> DataFrame:
+    """``session``, ``rule``, ``key`` of every offence of an overlay against a directed, typed structure.
+
+    Statements have ``session``, ``id``, ``text``; relations ``session``, ``id``, ``source``, ``target``, ``type``; what
+    is hidden ``session``, ``id``. Own ids carry their prefix, are new and hold no control characters; texts are 1 to
+    2,000 characters; a relation is of a known type, joins two different visible statements and says something new.
+    """
+    limits = LIMITS | (limits or {})
+    good = is_valid_id("id") & ~F.col("id").rlike(r"[\x00-\x1f\x7f]")
+    triple = F.concat_ws("|", "source", "target", "type")
+    key = ["session", "source", "target", "type"]
+    shown = visible_ids(base_statements, hidden_statements, statements)
+    found = []
+    for name, df, prefix, base, most in (("statement", statements, OWN_STATEMENT, base_statements, limits["nodes"]), ("relation", relations, OWN_RELATION, base_relations, limits["edges"])):
+        found.append(_offences(df.filter(~F.coalesce(good & F.col("id").startswith(prefix), F.lit(False))), f"invalid {name} id", F.col("id")))
+        found.append(_offences(df.groupBy("session", "id").count().filter("count > 1"), f"duplicate {name}", F.col("id")))
+        found.append(_offences(df.join(base.select("session", "id"), ["session", "id"], "left_semi"), f"{name} is in the base", F.col("id")))
+        found.append(_offences(df.groupBy("session").count().filter(F.col("count") > most), f"too many {name}s", F.col("count")))
+    for name, df, base in (("statement", hidden_statements, base_statements), ("relation", hidden_relations, base_relations)):
+        found.append(_offences(df.join(base.select("session", "id"), ["session", "id"], "left_anti"), f"hidden {name} is unknown", F.col("id")))
+        found.append(_offences(df.groupBy("session", "id").count().filter("count > 1"), f"duplicate hidden {name}", F.col("id")))
+        found.append(_offences(df.groupBy("session").count().filter(F.col("count") > limits["hidden"]), f"too many hidden {name}s", F.col("count")))
+    length = F.length(strip("text"))
+    found.append(_offences(statements.filter(~F.coalesce((length > 0) & (F.length("text") <= LONGEST_TEXT), F.lit(False))), "invalid statement text", F.col("id")))
+    found.append(_offences(relations.filter(~F.coalesce(F.col("type").isin(list(types)), F.lit(False))), "unknown relation type", F.col("id")))
+    found.append(_offences(relations.filter("source = target"), "relation to itself", F.col("id")))
+    ends = relations.select("session", F.col("id").alias("rid"), F.explode(F.array("source", "target")).alias("id")).join(shown, ["session", "id"], "left_anti")
+    found.append(_offences(ends, "relation end is not visible", F.col("rid")))
+    found.append(_offences(relations.groupBy(*key).count().filter("count > 1"), "relation is said twice", triple))
+    found.append(_offences(relations.join(base_relations.select(*key), key, "left_semi"), "relation is said in the base", triple))
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out.distinct()
