@@ -208,7 +208,7 @@ def hint(written: str, read: str, plausible: Plausibility) -> re.Pattern:
     return re.compile(f"{cls(rare)}{{2}}" if rare else r"(?!)")
 
 
-def restore(text: str, rules: list[tuple[str, str, re.Pattern]], plausible: Plausibility, *, least_gain: float = 1.0, rounds: int = 3) -> tuple[str, list[str]]:
+def restore(text: str, rules: list[tuple[str, str, re.Pattern]], plausible: Plausibility, *, least_gain: float = 0.5, rounds: int = 3) -> tuple[str, list[str]]:
     """``text`` with each line restored by the rules (written, read, hint) that leave the fewest implausible
     characters, one or two at a time (a text may have been garbled twice over), up to ``rounds`` times; and the rules
     used."""
@@ -342,7 +342,7 @@ def learn_rules(docs: DataFrame, text: str, plausible: Plausibility, *, least_ga
     return found.groupBy("rule").agg(F.count("*").alias("witnesses"))
 
 
-def repair_texts(docs: DataFrame, ident: str, text: str, *, least_witnesses: int = 2, least_gain: float = 1.0) -> DataFrame:
+def repair_texts(docs: DataFrame, ident: str, text: str, *, least_witnesses: int = 2, least_gain: float = 0.5) -> DataFrame:
     """Texts that hold characters from a wrong reading, with what could be restored.
 
     Result, for affected rows only: ``ident``, ``repaired``, ``rules`` (transformations undone, in order) and

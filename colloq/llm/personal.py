@@ -25,6 +25,8 @@ _FOLD = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20}
 _KANJI = {ord(c): str(i) for i, c in enumerate("〇一二三四五六七八九")} | {ord("零"): "0"}
 _SEP = r"[\s.\-‐‑–—−ーｰ]"
 _K = "〇零一二三四五六七八九"
+_LATIN = "0-9A-Za-z_À-ɏ"
+_FRENCH = re.compile(r"\b(?:le|la|les|est|une|des|du|de|numéro|demain|présente|avec|pour|et)\b|[éèêàç]", re.I)
 _SPOKEN = "zero oh one two three four five six seven eight nine".split()
 _SPOKEN_DIGIT = {w: str(max(0, i - 1)) for i, w in enumerate(_SPOKEN)}
 
@@ -90,7 +92,7 @@ class Names:
         fam, giv = ({x for x in xs if re.fullmatch(r"[^\W\d_][^\W\d_'’.-]*(?:[ '’-][^\W\d_]+)*", x) and not re.search("[぀-鿿]", x)} for xs in (self.family, self.given))
         if fam or giv:
             f, g = any_of(fam) or "(?!)", any_of(giv) or "(?!)"
-            out.append(re.compile(rf"(?<![\w@.+/-])(?:(?:{g})\s(?:[A-Z]\.\s)?(?:{f})|(?:{f}),?\s(?:{g})|(?:[A-Z]\.\s){{1,2}}(?:{f})|(?:{f})|(?:{g}))(?![\w@]|[-+][\w]|\.\w)", re.I))
+            out.append(re.compile(rf"(?<![{_LATIN}@.+/-])(?:(?:{g})\s(?:[A-Z]\.\s)?(?:{f})|(?:{f}),?\s(?:{g})|(?:[A-Z]\.\s){{1,2}}(?:{f})|(?:{f})|(?:{g}))(?![{_LATIN}@]|[-+][{_LATIN}]|\.[{_LATIN}])", re.I))
         out.append(re.compile(r"(?<=\b(?:Mr|Ms|Dr)\.\s)(?:[A-Z][a-z]{2,}\s){1,2}[A-Z][a-z]{2,}(?!\w)|(?<=\bMrs\.\s)(?:[A-Z][a-z]{2,}\s){1,2}[A-Z][a-z]{2,}(?!\w)|(?<=\bProf\.\s)(?:[A-Z][a-z]{2,}\s){1,2}[A-Z][a-z]{2,}(?!\w)"))
         return out
 
@@ -188,7 +190,10 @@ def find_mentions(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int,
             take(*m.span(), "phone")
     for pattern in patterns:
         for m in pattern.finditer(folded):
-            take(*m.span(), "name")
+            a, b = m.span()
+            if folded.startswith("M. ", a) and _FRENCH.search(folded[max(0, a - 25) : a] + folded[b : b + 25]):
+                a += 3  # a title there, an initial elsewhere
+            take(a, b, "name")
     return sorted(out)
 
 

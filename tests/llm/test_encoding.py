@@ -25,6 +25,13 @@ def test_twice_garbled():
     assert en.restore(bad, HINTED, PLAUSIBLE)[0] == CLEAN[0]
 
 
+def test_a_single_sign():
+    plausible = en.Plausibility({"£": 330, "Â": 75, "Ã": 130, "‚": 90}, 10_000)
+    hinted = [(w, r, en.hint(w, r, plausible)) for w, r in RULES[:2]]
+    assert en.restore("Cost: Â£78", hinted, plausible)[0] == "Cost: £78"
+    assert en.restore("Cost: Ã‚Â£78", hinted, plausible)[0] == "Cost: £78"
+
+
 def test_partly_garbled_line():
     bad = CLEAN[0] + en.garble(CLEAN[1], "utf-8", "mac_roman")
     assert en.restore(bad, HINTED, PLAUSIBLE)[0] == CLEAN[0] + CLEAN[1]

@@ -40,6 +40,8 @@ def found(text):
         ("苔沢　澪佳さんと石灯部長", [("苔沢　澪佳", "name"), ("石灯", "name")]),
         ("担当：コケザワ・ミオカ。", [("コケザワ・ミオカ", "name")]),
         ("Hi, I'm Yrsa H. Drossley; ask D. Tanfeld or SUNNIVA TANFELD, Mrs Drossley's.", [("Yrsa H. Drossley", "name"), ("D. Tanfeld", "name"), ("SUNNIVA TANFELD", "name"), ("Drossley", "name")]),
+        ("le numéro de M. Drossley est; M. Yrsa Tanfeld présente", [("Drossley", "name"), ("Yrsa Tanfeld", "name")]),
+        ("According to M. Drossley, the part is done. Tanfeldさんへ", [("M. Drossley", "name"), ("Tanfeld", "name")]),
         ("Mr. Retry and Dr. no-show; SPEAKER_00; 皆様、先生役、部長会、石灯通", []),
         ("", []),
     ],
