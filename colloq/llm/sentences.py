@@ -141,7 +141,8 @@ def _spots(line: str) -> list[Spot]:
             break
         if mark or blank and (unspaced or len(blank) > 1 or "　" in blank) or bare and k == j + 1:
             dots = opener < 0 and not blank and (mark == "." or mark == "．" and line[k].isalnum() or mark and set(mark) <= {"…"})
-            if not dots and (mark or line[k] not in STRONG):
+            latin = not mark and blank == " " and _kind(line[j]) in "Ul0" and _kind(line[k]) in "Ul0"
+            if not dots and not latin and (mark or line[k] not in STRONG):
                 out.append(Spot(j, mark, opener, blank, k))
         i = j + 1
     return out
