@@ -93,15 +93,15 @@ s AS (SELECT *, round(n * (1.0::DOUBLE + 0.1::DOUBLE * least(length(word), 10)),
 
 
 def _top(keys: str, most: int) -> str:
-    return f"k AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, word) AS rank FROM s), top AS (SELECT * FROM k WHERE rank <= {most})"
+    return f"k AS (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, word) AS INTEGER) AS rank FROM s), top AS (SELECT * FROM k WHERE rank <= {most})"
 
 
 _NUMBERED = """r AS (SELECT DISTINCT session_id AS session, utt_ord AS utt, term_ord AS ord, word, coalesce(score, 1.0) AS score FROM utterance_terms WHERE word IS NOT NULL AND word <> ''),
 f AS (SELECT *, row_number() OVER (PARTITION BY session, utt, word ORDER BY ord, score) AS k FROM r),
-n AS (SELECT session, utt, dense_rank() OVER (PARTITION BY session ORDER BY utt) AS seq, ord, word, score FROM f WHERE k = 1)"""
+n AS (SELECT session, utt, CAST(dense_rank() OVER (PARTITION BY session ORDER BY utt) AS INTEGER) AS seq, ord, word, score FROM f WHERE k = 1)"""
 _NODES = f"{_NUMBERED}, g AS (SELECT session, word, round(sum(score), 9) AS salience, count(*) AS frequency, max(seq) AS last_seen FROM n GROUP BY ALL)"
 _EDGES = "e AS (SELECT x.session, x.word AS a, y.word AS b, count(*) AS weight FROM n x JOIN n y ON x.session = y.session AND x.utt = y.utt AND x.word < y.word GROUP BY ALL)"
-_VISIBLE = f"{_NODES}, v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY salience DESC, frequency DESC, last_seen DESC, word) AS rank FROM g WHERE salience >= 2.0 AND frequency >= 2) WHERE rank <= 40)"
+_VISIBLE = f"{_NODES}, v AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session ORDER BY salience DESC, frequency DESC, last_seen DESC, word) AS INTEGER) AS rank FROM g WHERE salience >= 2.0 AND frequency >= 2) WHERE rank <= 40)"
 _STOP_TERMS = sql_list(lexicons.TERM_STOPWORDS + lexicons.FILLERS)
 
 QUERIES = {
@@ -129,9 +129,9 @@ g AS (SELECT *, sum(CASE WHEN noun THEN 0 ELSE 1 END) OVER (PARTITION BY file_id
 r AS (SELECT file_id, run, string_agg(text, '' ORDER BY word_ord) AS word, count(*) AS tokens FROM g WHERE noun GROUP BY ALL),
 c AS (SELECT file_id, word, count(*) AS n, arg_max(tokens, run) AS tokens FROM r WHERE length(word) > 1 AND word NOT IN ({_STOP_TERMS}) GROUP BY ALL),
 s AS (SELECT file_id, word, n * (1 + least(length(word), 12) * 0.08::DOUBLE) * CASE WHEN tokens >= 2 THEN 1.25::DOUBLE ELSE 1 END AS score FROM c),
-k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, word) AS rank FROM s)
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY score DESC, word) AS INTEGER) AS rank FROM s)
 SELECT file_id, word, round(score, 6) AS score, rank FROM k WHERE rank <= 20""",
-    "keyword_artifacts": f"WITH {_U}, {_counts('session_id')}, {_top('session_id', 15)} SELECT session_id, CAST(rank AS INTEGER) AS rank, word, score FROM top",
+    "keyword_artifacts": f"WITH {_U}, {_counts('session_id')}, {_top('session_id', 15)} SELECT session_id, rank, word, score FROM top",
     "graph_nodes": f"WITH {_NODES} SELECT * FROM g",
     "graph_decayed_salience": f"WITH {_NUMBERED}, l AS (SELECT session, max(seq) AS last FROM n GROUP BY ALL) SELECT session, word, round(sum(score * pow(0.98::DOUBLE, last - seq)), 9) AS salience, count(*) AS frequency, max(seq) AS last_seen FROM n JOIN l USING (session) GROUP BY ALL",
     "cooccurrence_edges": f"WITH {_NUMBERED}, {_EDGES} SELECT * FROM e WHERE weight >= 2",
