@@ -27,9 +27,9 @@ def is_finite(c: Column | str) -> Column:
 
 
 def to_ms(c: Column | str) -> Column:
-    """Seconds to whole milliseconds, nearest."""
+    """Seconds to whole milliseconds, nearest; null where they don't fit."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c * 1000.0).cast("bigint")
+    return F.round(c * 1000.0).try_cast("bigint")
 
 
 def clamp01(c: Column) -> Column:
@@ -39,8 +39,8 @@ def clamp01(c: Column) -> Column:
 
 def format_timestamp(seconds: Column) -> Column:
     """``[HH:]MM:SS.mmm``, hours only where there are any; milliseconds are rounded half to even. Parts of a negative
-    time count up from a negative hour."""
-    ms = F.bround(seconds * 1000.0).cast("bigint")
+    time count up from a negative hour; a time that is no number of milliseconds gives null."""
+    ms = F.bround(seconds * 1000.0).try_cast("bigint")
     part = lambda unit, size: F.pmod(F.floor(ms / F.lit(unit)), F.lit(size))
     hours = F.floor(ms / F.lit(3_600_000))
     short = F.format_string("%02d:%02d.%03d", part(60_000, 60), part(1000, 60), F.pmod(ms, F.lit(1000)))

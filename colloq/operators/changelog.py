@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloq.functions.text import path_stem
+from colloq.operators.runs import running_total
 
 # Order of processing states; others come last.
 STATE_ORDER = {"PROCESSING": 0, "QUEUED": 1, "PENDING": 1, "ERROR": 2, "DONE": 3}
@@ -31,8 +32,9 @@ def changes_after(df: DataFrame, version: str, seen: int) -> DataFrame:
 
 
 def running_count(df: DataFrame, keys: list[str], order: str, name: str = "completed") -> DataFrame:
-    """Each row with how many rows of its key there are up to it."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(order)))
+    """Each row with how many rows of its key there are up to it by ``order`` (a whole number, unique in the key)."""
+    rows = running_total(df.withColumn("__one", F.lit(1)), keys, order, "__one", "__before", width=10_000)
+    return rows.withColumn(name, (F.col("__before") + 1).cast("int")).drop("__one", "__before")
 
 
 def last_rows(df: DataFrame, keys: list[str], order: list[str], most: int = 100) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colloq.functions import lexicons
 from colloq.functions.text import BLANK, clamp01, strip
+from colloq.operators.runs import running_total
 from colloq.session import checkpoint
 
 
@@ -38,12 +39,12 @@ def split_statements(utterances: DataFrame, session: str, index: str, *, enders:
     """Statements of each session in order of the utterances' ``index`` (unique in the session): ``session``,
     ``stmt_pos`` (from 1), ``id`` (s1, s2, ...), ``utterance_index``, ``speaker``, ``text``.
 
-    The running number is the statements of earlier utterances plus the place in one's own, so only one row per
-    utterance goes through the window over a session. Null texts have no statement.
+    The running number is the statements of earlier utterances plus the place in one's own. Null texts have no
+    statement.
     """
     rows = utterances.select(F.col(session).alias("session"), F.col(index).alias("utterance_index"), "speaker", F.flatten(F.transform(sentences_of(F.col("text"), enders), lambda s: fragments_of(s, connectives))).alias("parts")).filter(F.size("parts") > 0)
-    before = F.sum(F.size("parts")).over(W.partitionBy("session").orderBy("utterance_index").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("base", F.coalesce(before, F.lit(0))).select("session", "utterance_index", "speaker", "base", F.posexplode("parts").alias("n", "text"))
+    rows = running_total(rows.withColumn("__size", F.size("parts")), ["session"], "utterance_index", "__size", "base")
+    rows = rows.select("session", "utterance_index", "speaker", "base", F.posexplode("parts").alias("n", "text"))
     pos = (F.col("base") + F.col("n") + 1).cast("bigint")
     return rows.select("session", pos.alias("stmt_pos"), F.concat(F.lit("s"), pos.cast("string")).alias("id"), "utterance_index", "speaker", "text")
 
@@ -53,13 +54,14 @@ def marker_relations(statements: DataFrame, rules: tuple = lexicons.MARKER_RULES
 
     ``session``, ``rel_pos``, ``source``, ``target``, ``type``, ``confidence``, ``marker``, ``rule``. A contrast that
     opens another speaker's turn keeps its rule and has at least 0.65; any other contrast has 0.45. The first statement
-    of a session has no relation. ``lead``: characters skipped before the marker.
+    of a session has no relation; ``stmt_pos`` must count without gaps. ``lead``: characters skipped before the marker.
     """
     body = F.regexp_replace("text", f"^[{lead}]+", "")
     match = F.coalesce(*[F.when(body.startswith(m), F.struct(F.lit(m).alias("marker"), F.lit(t).alias("type"), F.lit(cur).alias("cur"), F.lit(c).alias("confidence"), F.lit(r).alias("rule"))) for m, t, cur, c, r in rules])
-    w = W.partitionBy("session").orderBy("stmt_pos")
-    rows = statements.select("session", "stmt_pos", "id", "utterance_index", "speaker", match.alias("m"), F.lag("id").over(w).alias("prev"), F.lag("utterance_index").over(w).alias("prev_utt"), F.lag("speaker").over(w).alias("prev_speaker"))
-    rows = rows.filter("prev IS NOT NULL AND m IS NOT NULL")
+    # The statement before has the number before: a join on it spreads a session over all tasks.
+    found = statements.select("session", "stmt_pos", "id", "utterance_index", "speaker", match.alias("m")).filter("m IS NOT NULL")
+    before = statements.select("session", (F.col("stmt_pos") + 1).alias("stmt_pos"), F.col("id").alias("prev"), F.col("utterance_index").alias("prev_utt"), F.col("speaker").alias("prev_speaker"))
+    rows = found.join(before, ["session", "stmt_pos"])
     contrast = F.col("m.type") == "contrasts"
     opens = (F.col("utterance_index") != F.col("prev_utt")) & ~F.col("speaker").eqNullSafe(F.col("prev_speaker"))
     confidence = F.when(~contrast, F.col("m.confidence")).when(opens, F.greatest("m.confidence", F.lit(0.65))).otherwise(F.lit(0.45))

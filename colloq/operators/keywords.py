@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloq.functions import lexicons
+from colloq.operators.runs import mark_runs
 
 
 def candidate_words(df: DataFrame, keys: list[str], text: str, patterns: tuple[str, ...] = lexicons.KEYWORD_PATTERNS) -> DataFrame:
@@ -56,7 +57,8 @@ def terms(df: DataFrame, keys: list[str], text: str, most: int = 20, extra_stopw
 
 
 def compound_terms(tokens: DataFrame, keys: list[str], order: str, most: int = 20, extra_stopwords: list[str] | None = None) -> DataFrame:
-    """Terms from tokens (``surface``, ``part_of_speech``, ``base_form``) in ``order``: runs of nouns become one term.
+    """Terms from tokens (``surface``, ``part_of_speech``, ``base_form``) in ``order`` (a number, unique in the group):
+    runs of nouns become one term.
 
     A noun is a token whose tag begins with the noun tag and whose second tag isn't among those left out. The score is
     the count times 1 plus 0.08 for each of at most 12 characters, times 1.25 where the term's last run had two tokens
@@ -65,9 +67,8 @@ def compound_terms(tokens: DataFrame, keys: list[str], order: str, most: int = 2
     tags = F.split(F.col("part_of_speech"), ",")
     noun = (tags[0] == lexicons.NOUN) & ~F.coalesce(F.get(tags, F.lit(1)), F.lit("")).isin(list(lexicons.NOUN_SUBTYPES_LEFT_OUT))
     base = F.when(F.col("base_form").isNotNull() & ~F.col("base_form").isin("", "*"), F.col("base_form")).otherwise(F.col("surface"))
-    w = W.partitionBy(*keys).orderBy(order)
-    rows = tokens.withColumn("noun", F.coalesce(noun, F.lit(False))).withColumn("base", base)
-    rows = rows.withColumn("run", F.sum(F.when(F.col("noun"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("noun")
+    rows = tokens.select(*keys, order, F.when(noun, F.lit("n")).otherwise(F.lit("x")).alias("__kind"), base.alias("base"), F.floor(F.col(order) / F.lit(1000)).alias("__stretch"))
+    rows = mark_runs(rows, keys, "__stretch", [order], "__kind").filter("__kind = 'n'")
     runs = rows.groupBy(*keys, "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "base"))), lambda x: x["base"]), "").alias("word"), F.count("*").alias("tokens"))
     runs = runs.withColumn("word", F.when(F.col("word").rlike(r"^[\x00-\x7f]*$"), F.lower("word")).otherwise(F.col("word"))).filter(F.length("word") > 1)
     stop = lexicons.TERM_STOPWORDS + lexicons.FILLERS + [w.strip().lower() for w in extra_stopwords or [] if w.strip()]

@@ -34,3 +34,14 @@ def mark_runs(df: DataFrame, keys: list[str], bucket: str, order: list[str], lab
     old = F.col("__start").isNull() | (F.col("__goes_on") & (F.col("__start") == F.col("__head_at")))
     rows = rows.withColumn("label_filled", F.coalesce("__label", "__carried")).withColumn("run", F.when(old, F.col("__open")).otherwise(F.col("__start")))
     return rows.drop("__label", "__first", "__start", "__carried", "__goes_on", "__head_at", "__open")
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str, *, width: int = 1000) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the entity's rows before this one by ``order`` (a whole number, unique
+    in the entity). Windows cover ``width`` values of ``order``; what comes before them is one row for each such stretch."""
+    place = [*keys, "__stretch"]
+    rows = df.withColumn("__stretch", F.floor(F.col(order) / F.lit(width)))
+    earlier = W.partitionBy(*keys).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(*place).agg(F.sum(value).alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum")
+    here = W.partitionBy(*place).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.join(sums, place).withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("__stretch", "__base")

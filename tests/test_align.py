@@ -87,6 +87,6 @@ def test_recognition_payloads(spark):
 def test_timestamps(spark):
     from colloq.functions.text import format_timestamp, minute_stamp
 
-    got = spark.createDataFrame([(0.0,), (61.2345,), (3600.0,), (-0.019,)], "s double").select(format_timestamp(F.col("s")).alias("t"), minute_stamp(F.col("s")).alias("m")).collect()
-    assert [r.t for r in got] == ["00:00.000", "01:01.234", "01:00:00.000", "-1:59:59.981"]
+    got = spark.createDataFrame([(0.0,), (61.2345,), (3600.0,), (-0.019,), (1e300,)], "s double").select(format_timestamp(F.col("s")).alias("t"), minute_stamp(F.col("s")).alias("m")).collect()
+    assert [r.t for r in got] == ["00:00.000", "01:01.234", "01:00:00.000", "-1:59:59.981", None]
     assert [r.m for r in got][:3] == ["[00:00]", "[01:01]", "[60:00]"]

@@ -72,3 +72,20 @@ def test_interval_map():
         m.insert(a, b)
     assert list(m) == [(1, 3, 2), (5, 9, 3)]
     assert m.gaps() == [(3, 5)]
+
+
+def test_usable_turns(spark):
+    from colloq.plans.intervals import usable_turns
+
+    rows = [(1, 7, " a　", 0.0, 1.0), (2, 7, "b", 1.0, 1.0004), (3, 7, "　", 0.0, 1.0), (4, 7, None, 0.0, 1.0), (5, 7, "c", float("nan"), 1.0), (6, 7, "d", 0.0, float("inf")), (7, 7, "e", 2.0, 1.0), (8, 7, "f", 0.0, 1e300), (9, None, "g", 0.0, 2.0)]
+    got = usable_turns(spark.createDataFrame(rows, "turn_id long, file_id int, speaker string, start_s double, end_s double")).collect()
+    assert {(r.turn_id, r.speaker, r.start_ms, r.end_ms) for r in got} == {(1, "A", 0, 1000), (9, "G", 0, 2000)}
+
+
+def test_running_total(spark):
+    from colloq.operators.runs import running_total
+
+    r = random.Random(8)
+    rows = [(r.choice("ab"), i, r.randrange(5)) for i in r.sample(range(-300, 9000), 500)]
+    got = running_total(spark.createDataFrame(rows, "k string, o long, v long"), ["k"], "o", "v", "t", width=100).collect()
+    assert all(x.t == sum(v for k, o, v in rows if k == x.k and o < x.o) for x in got) and len(got) == 500
