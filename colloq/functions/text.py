@@ -44,7 +44,7 @@ def format_timestamp(seconds: Column) -> Column:
     part = lambda unit, size: F.pmod(F.floor(ms / F.lit(unit)), F.lit(size))
     hours = F.floor(ms / F.lit(3_600_000))
     short = F.format_string("%02d:%02d.%03d", part(60_000, 60), part(1000, 60), F.pmod(ms, F.lit(1000)))
-    return F.when(hours != 0, F.concat(F.format_string("%02d:", hours), short)).otherwise(short)
+    return F.when(hours != 0, F.concat(F.format_string("%02d:", hours), short)).when(hours == 0, short)
 
 
 def minute_stamp(seconds: Column) -> Column:
