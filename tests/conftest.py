@@ -10,9 +10,10 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from colloq.session import build_session
+    from colloq.session import build_session, ship_package
 
     session = build_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()
