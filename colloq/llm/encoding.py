@@ -33,7 +33,7 @@ _UNITS = {
     "big5": re.compile("[\xa1-\xf9][\x40-\x7e\xa1-\xfe]"),
 }
 _LOSS = re.compile("[\x80-\x84\x86-\x9f�]")  # what no writer types: C1 controls and the replacement character
-_NON_ASCII = re.compile("[^\x00-\x7f]+")
+_HALF = re.compile("[\uff61-\uff9f]")
 
 
 @lru_cache(maxsize=None)
@@ -178,44 +178,67 @@ def _undo(text: str, written: str, read: str, plausible: Plausibility, least_gai
     return "".join([*out, text[last:]]) if out else None
 
 
-def hint(written: str, read: str, plausible: Plausibility) -> re.Pattern:
-    """What a line must hold for a rule to be worth trying; lines without it can't change under the rule."""
-    cls = lambda chars: "[" + "".join(re.escape(ch) for ch in chars) + "]"
+RARE = -2.5  # a character in fewer documents than this log share may open a garbled stretch
+
+
+def _leads(written: str, read: str, plausible: Plausibility) -> tuple[list[str], str]:
+    """The characters of the corpus that a stretch under a rule can begin with, and the pattern it begins in."""
+    rare = sorted(ch for ch, log in plausible.log.items() if log < RARE and ch != "\ufffd")
+    cls = lambda chars: "[" + "".join(map(re.escape, chars)) + "]" if chars else "(?!)"
     if read in SINGLE_BYTE:
-        back = _reading(read)
+        table, back = _table(read), _reading(read)
         if written == "utf-8":
-            return re.compile(cls(back[0xC2:0xF5]) + cls(back[0x80:0xC0]))
-        return re.compile(f"(?:{cls(back[0x81:0xA0] + back[0xA1:0xFD])}{cls(back[0x40:0x7F] + back[0x80:0xFD])}){{2}}")
+            first = [ch for ch in rare if 0xC2 <= table.get(ch, 0) < 0xF5]
+            return first, cls(first) + cls(back[0x80:0xC0])
+        first = [ch for ch in rare if 0x81 <= table.get(ch, 0) < 0xFD and table[ch] != 0xA0]
+        trail = cls(back[0x40:0x7F] + back[0x80:0xFD])
+        return first, f"{cls(first)}{trail}{cls(back[0x81:0xA0] + back[0xA1:0xFD])}{trail}"
     if (written, read) == ("euc_jp", "cp932"):
-        return re.compile("[\uff61-\uff9f]{2}")
+        return [ch for ch in rare if _HALF.match(ch)], "[\uff61-\uff9f]{2}"
     if written == "utf-8":
         first, single, then = [], [], []
-        for o in range(0x80, 0x10000):
-            b = _bytes_of(chr(o), read)
-            if b and len(b) == 1 and 0xC2 <= b[0] < 0xF5:
-                first.append(chr(o))
-            elif b and len(b) > 1 and 0xE0 <= b[0] < 0xF5 and 0x80 <= b[1] < 0xC0:
-                first.append(chr(o))
-            elif b and len(b) == 2 and 0xC2 <= b[0] < 0xE0 and 0x80 <= b[1] < 0xC0:
-                single.append(chr(o))
-            if b and 0x80 <= b[0] < 0xC0:
-                then.append(chr(o))
-        return re.compile(f"{cls(first)}{cls(then)}|{cls(single)}{{4}}" if single else f"{cls(first)}{cls(then)}")
+        for ch in plausible.log:
+            b = _bytes_of(ch, read)
+            if not b or ch == "\ufffd":
+                continue
+            if 0x80 <= b[0] < 0xC0:
+                then.append(ch)
+            if plausible.log[ch] >= RARE:
+                continue
+            if len(b) == 1 and 0xC2 <= b[0] < 0xF5 or len(b) > 1 and 0xE0 <= b[0] < 0xF5 and 0x80 <= b[1] < 0xC0:
+                first.append(ch)
+            elif len(b) == 2 and 0xC2 <= b[0] < 0xE0 and 0x80 <= b[1] < 0xC0:
+                single.append(ch)
+        return first + single, f"{cls(sorted(first))}{cls(sorted(then))}|{cls(sorted(single))}{{4}}"
     # What the characters that many documents hold turn into, unless many hold that too.
-    common = [ch for ch, log in plausible.log.items() if log > -6]
-    made = {g for ch in common for g in (garble(ch * 2, written, read) or "")}
-    rare = sorted(ch for ch in made if ch > "\x7f" and ch != "\ufffd" and plausible.log.get(ch, plausible.floor) < -3.5)
-    return re.compile(f"{cls(rare)}{{2}}" if rare else r"(?!)")
+    made = {g for ch, log in plausible.log.items() if log > -6 for g in (garble(ch * 2, written, read) or "")}
+    first = [ch for ch in rare if ch in made and plausible.log[ch] < -3.5]
+    return first, f"{cls(first)}{{2}}"
+
 
+def hints(rules: list[tuple[str, str]], plausible: Plausibility) -> tuple[str, list[tuple[str, str, str]]]:
+    """What a line must hold for any rule to be worth trying, and the rules with what it must hold for each of them;
+    lines without it can't change under the rule."""
+    every, out = set(), []
+    for written, read in rules:
+        leads, pattern = _leads(written, read, plausible)
+        every.update(leads)
+        out.append((written, read, pattern))
+    return "[" + "".join(map(re.escape, sorted(every))) + "]" if every else "(?!)", out
 
-def restore(text: str, rules: list[tuple[str, str, re.Pattern]], plausible: Plausibility, *, least_gain: float = 0.5, rounds: int = 3) -> tuple[str, list[str]]:
-    """``text`` with each line restored by the rules (written, read, hint) that leave the fewest implausible
+
+def restore(text: str, rules: tuple[str, list[tuple[str, str, str]]], plausible: Plausibility, *, least_gain: float = 0.5, rounds: int = 3) -> tuple[str, list[str]]:
+    """``text`` with each line restored by the rules (from :func:`hints`) that leave the fewest implausible
     characters, one or two at a time (a text may have been garbled twice over), up to ``rounds`` times; and the rules
     used."""
+    gate = re.compile(rules[0])
+    if not gate.search(text):
+        return text, []
+    compiled = [(w, r, re.compile(p)) for w, r, p in rules[1]]
     lines, used = text.split("\n"), []
     for i, line in enumerate(lines):
-        if not line.isascii():
-            lines[i], rule = _restore_line(line, rules, plausible, least_gain, rounds)
+        if gate.search(line):
+            lines[i], rule = _restore_line(line, compiled, plausible, least_gain, rounds)
             used.extend(r for r in rule if r not in used)
     return "\n".join(lines), used
 
@@ -243,9 +266,6 @@ def _restore_line(text: str, rules: list[tuple[str, str, re.Pattern]], plausible
     return text, used
 
 
-_HALF = re.compile("[\uff61-\uff9f]")
-
-
 def _believable(text: str, start: int, end: int, units: int, written: str, read: str) -> bool:
     """False where sound text could look the same: one unit in a legacy encoding, characters that are each one unit
     of the other encoding, and a few half-width kana inside a longer word of them."""
@@ -298,7 +318,7 @@ def stretches(text: str) -> set[tuple[str, str]]:
             before = re.search(r"[\x00-\x7f]*$", plain[max(0, m.start() - 24) : m.start()]).group()
             after = re.match(r"[\x00-\x7f]*", plain[m.end() : m.end() + 24]).group()
             if len(before) + len(after) >= 3:
-                out.add((before + "\x00" + after, m.group()[:64]))
+                out.add((before + "\x00" + after, m.group()[:24]))
             if len(before) >= 3:
                 out.add((before, m.group()[:12]))
     return out
@@ -328,8 +348,10 @@ def learn_rules(docs: DataFrame, text: str, plausible: Plausibility, *, least_ga
             yield pd.DataFrame([(k, s, plausible(s)) for k, s in found], columns=["key", "stretch", "score"])
 
     source = docs.select(F.col(text).alias("__text")).filter(F.col("__text").rlike(r"[^\x00-\x7f]"))
-    rows = source.mapInPandas(split, "key string, stretch string, score double").groupBy("key", "stretch").agg(F.first("score").alias("score"), F.count("*").alias("n"))
-    both = F.col("key").contains("\x00")
+    rows = source.mapInPandas(split, "key string, stretch string, score double")
+    rows = rows.select(F.xxhash64("key").alias("key"), F.col("key").contains("\x00").alias("both"), "stretch", "score")
+    rows = rows.groupBy("key", "both", "stretch").agg(F.first("score").alias("score"), F.count("*").alias("n"))
+    both = F.col("both")
     gap = F.col("score") < F.col("high") - least_gap
     likely = rows.filter(both).groupBy("key").agg(F.max(F.struct("score", "stretch")).alias("best")).select("key", F.col("best.stretch").alias("twin"), F.col("best.score").alias("high"))
     # Where only the text before counts, the twin is the beginning that is met most often.
@@ -357,8 +379,9 @@ def repair_texts(docs: DataFrame, ident: str, text: str, *, least_witnesses: int
     rules = sorted((r.rule.split(">")[0], r.rule.split(">")[1]) for r in learned)
     rules = [r for r in rules if r[0] in _UNITS and r[1] != "utf-8"]
 
+    hinted = hints(rules, plausible)
+
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hinted = [(w, r, hint(w, r, plausible)) for w, r in rules]
         for batch in batches:
             out = []
             for i, t in zip(batch["__id"], batch["__text"], strict=True):

@@ -5,9 +5,12 @@ import pytest
 from colloq.llm import encoding as en
 
 CLEAN = ["予算方針の件は来週までに決めます。", "画面の右側に一覧を出します。", "Nous devons régler le coût de côté.", "He wrote ‘etc.’ on “the board” — yet…", "어제 작업이 더 걸렸습니다.", "谁来负责这个事情？", "ダッシュボードの結果を表にまとめて送ります。", "Für Über möchte später länger"]
-PLAUSIBLE = en.Plausibility({ch: 500 for t in CLEAN for ch in t if ch > "\x7f"} | {ch: 20 for ch in "ãÃâ€縺繧銇"}, 1000)
 RULES = [("utf-8", r) for r in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp1250", "cp932", "gbk")] + [("cp932", "latin-1"), ("cp932", "cp1252"), ("euc_jp", "cp932")]
-HINTED = [(w, r, en.hint(w, r, PLAUSIBLE)) for w, r in RULES]
+SOUND = ["╔══╦══╗ ║ 時刻 ║", "ﾃﾞﾝﾜ ｶｲｾﾝ ﾉ ｶｸﾆﾝ ｽﾞﾐ｡", "ﾀﾞｯｼｭﾎﾞｰﾄﾞ ｲﾝﾃﾞｯｸｽ ﾖﾃｲ｡", "Ï, Ã, Â: letters", "縺れた糸のような議論", "繧繝の配色", "Ångström — Ærø — Œuvre — Ÿ — ¿? ½ £ §", "Протокол встречи", "A REVISÃO NÃO TERMINOU", "怎么办", "→Ωμ ½ „so“ ±3", "", "ascii only", "¡Falta!"]
+BAD = [g for t in CLEAN for rule in RULES if (g := en.garble(t, *rule))]
+BAD += [g for t in BAD for rule in RULES[:1] if (g := en.garble(t, *rule))]
+PLAUSIBLE = en.Plausibility({ch: 20 for t in BAD + SOUND for ch in t if ch > "\x7f"} | {ch: 500 for t in CLEAN for ch in t if ch > "\x7f"}, 1000)
+HINTED = en.hints(RULES, PLAUSIBLE)
 
 
 @pytest.mark.parametrize("rule", [r for r in RULES if r[1] in en.SINGLE_BYTE])
@@ -27,7 +30,7 @@ def test_twice_garbled():
 
 def test_a_single_sign():
     plausible = en.Plausibility({"£": 330, "Â": 75, "Ã": 130, "‚": 90}, 10_000)
-    hinted = [(w, r, en.hint(w, r, plausible)) for w, r in RULES[:2]]
+    hinted = en.hints(RULES[:2], plausible)
     assert en.restore("Cost: Â£78", hinted, plausible)[0] == "Cost: £78"
     assert en.restore("Cost: Ã‚Â£78", hinted, plausible)[0] == "Cost: £78"
 
@@ -37,7 +40,7 @@ def test_partly_garbled_line():
     assert en.restore(bad, HINTED, PLAUSIBLE)[0] == CLEAN[0] + CLEAN[1]
 
 
-@pytest.mark.parametrize("text", [*CLEAN, "╔══╦══╗ ║ 時刻 ║", "ﾃﾞﾝﾜ ｶｲｾﾝ ﾉ ｶｸﾆﾝ ｽﾞﾐ｡", "ﾀﾞｯｼｭﾎﾞｰﾄﾞ ｲﾝﾃﾞｯｸｽ ﾖﾃｲ｡", "Ï, Ã, Â: letters", "縺れた糸のような議論", "繧繝の配色", "Ångström — Ærø — Œuvre — Ÿ — ¿? ½ £ §", "Протокол встречи", "A REVISÃO NÃO TERMINOU", "怎么办", "→Ωμ ½ „so“ ±3", "", "ascii only", "¡Falta!"])
+@pytest.mark.parametrize("text", [*CLEAN, *SOUND])
 def test_sound_texts_stay(text):
     assert en.restore(text, HINTED, PLAUSIBLE) == (text, [])
 
