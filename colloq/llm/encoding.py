@@ -349,15 +349,17 @@ def learn_rules(docs: DataFrame, text: str, plausible: Plausibility, *, least_ga
 
     source = docs.select(F.col(text).alias("__text")).filter(F.col("__text").rlike(r"[^\x00-\x7f]"))
     rows = source.mapInPandas(split, "key string, stretch string, score double")
-    rows = rows.select(F.xxhash64("key").alias("key"), F.col("key").contains("\x00").alias("both"), "stretch", "score")
+    rows = rows.select(F.xxhash64("key").alias("key"), F.coalesce(F.col("key").contains("\x00"), F.lit(False)).alias("both"), "stretch", "score")
     rows = rows.groupBy("key", "both", "stretch").agg(F.first("score").alias("score"), F.count("*").alias("n"))
-    both = F.col("both")
-    gap = F.col("score") < F.col("high") - least_gap
-    likely = rows.filter(both).groupBy("key").agg(F.max(F.struct("score", "stretch")).alias("best")).select("key", F.col("best.stretch").alias("twin"), F.col("best.score").alias("high"))
+    # All three uses below read the same columns and filter only after aggregating, so the texts are split once and the
+    # shuffled result is used again.
+    gap = (F.col("score") < F.col("high") - least_gap) & (F.col("n") > 0)
+    likely = rows.groupBy("key").agg(F.max(F.struct("score", "stretch", "n")).alias("best"), F.max("both").alias("both")).filter("both")
+    likely = likely.select("key", "both", F.col("best.stretch").alias("twin"), F.col("best.score").alias("high"))
     # Where only the text before counts, the twin is the beginning that is met most often.
-    heads = rows.filter(~both).groupBy("key", F.substring("stretch", 1, 3).alias("twin")).agg(F.sum("n").alias("n"), F.max("score").alias("high"))
-    often = heads.groupBy("key").agg(F.max(F.struct("n", "twin", "high")).alias("best")).select("key", "best.twin", "best.high")
-    pairs = rows.join(likely.unionByName(often), "key").filter(gap).select("stretch", "twin").distinct()
+    heads = rows.groupBy("key", F.substring("stretch", 1, 3).alias("twin")).agg(F.sum("n").alias("n"), F.max("score").alias("high"), F.max("both").alias("both"))
+    often = heads.groupBy("key").agg(F.max(F.struct("n", "twin", "high")).alias("best"), F.max("both").alias("both")).filter("NOT both").select("key", "both", "best.twin", "best.high")
+    pairs = rows.join(likely.unionByName(often), ["key", "both"]).filter(gap).select("stretch", "twin").distinct()
     hypotheses = _hypotheses()
     witness = F.pandas_udf(lambda g, c: pd.Series([explain(a, b, hypotheses) for a, b in zip(g, c, strict=True)], dtype=object), "array<string>")
     found = pairs.select(F.explode(witness("stretch", "twin")).alias("rule"))
