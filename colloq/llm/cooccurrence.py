@@ -53,6 +53,8 @@ def _chunked_pairs(items: DataFrame, chunk: int) -> DataFrame:
     rows = items.withColumn("parts", parts).withColumn("c", F.expr("pmod(xxhash64(item), parts)").cast("int"))
     rows = rows.withColumn("o", F.explode(F.expr("sequence(0, parts - 1)")))
     rows = rows.select("kind", "basket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") <= F.col("o")).alias("left"), (F.col("c") >= F.col("o")).alias("right"), F.struct("item", "n").alias("x"))
+    # Without this the rows, which lie by basket, would be grouped where they are: a basket in one task.
+    rows = rows.repartition("kind", "basket", "i", "j")
     pair = rows.groupBy("kind", "basket", "i", "j").agg(F.collect_list(F.when(F.col("left"), F.col("x"))).alias("l"), F.collect_list(F.when(F.col("right"), F.col("x"))).alias("r"))
     # Within one chunk (i = j) each unordered pair is met twice; across chunks once.
     pair = pair.select("kind", F.col("i") == F.col("j"), F.explode("l").alias("x"), "r").toDF("kind", "same", "x", "r")
