@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloq.functions import lexicons
-from colloq.functions.text import BLANK, clamp01, strip
+from colloq.functions.text import clamp01, strip
 from colloq.operators.runs import running_total
 from colloq.session import checkpoint
 
@@ -283,6 +283,3 @@ def break_cycles(relations: DataFrame) -> DataFrame:
         return pdf.iloc[acyclic(rows)]
 
     return relations.groupBy("session").applyInPandas(keep, relations.schema)
-
-
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("annotations", "F", "W", "pd", "re", "BLANK", "lexicons")]
