@@ -5,6 +5,9 @@ characters are stripped. Where the two differ, the characters are aligned under
 B": a hypothesis counts a witness when it turns the clean stretch into exactly the garbled one. Hypotheses with enough
 witnesses are the learned transformations; they are undone in all remaining texts wherever that gives more plausible
 characters. Plausibility is how many documents a character occurs in, over the whole corpus.
+
+Escape-coded Japanese (ISO-2022-JP read as ASCII, often with the escape signs lost) has no non-ASCII character to compare;
+its stretches are found by their form and decoded where what comes out is plausible.
 """
 
 from __future__ import annotations
@@ -35,6 +38,11 @@ _UNITS = {
 _LOSS = re.compile("[\x80-\x84\x86-\x9f�]")  # what no writer types: C1 controls and the replacement character
 _HALF = re.compile("[\uff61-\uff9f]")
 
+# Two-byte Japanese between its escape sequences, with or without the escape signs; a text may be cut within.
+ESCAPED = "iso2022_jp>ascii"
+ESCAPE_OPENS = r"\$[@B]"
+_ESCAPED = re.compile(rf"\x1b?{ESCAPE_OPENS}((?:[\x21-\x7e]{{2}})+?)(?:(\x1b?\([BJ])|(?=\x1b?{ESCAPE_OPENS}|[\x21-\x7e]?$))", re.M)
+
 
 @lru_cache(maxsize=None)
 def _table(codec: str) -> dict[str, int]:
@@ -104,6 +112,35 @@ class Plausibility:
         return -sum(self.log.get(ch, self.floor) for ch in text if ch > "\x7f")
 
 
+def escaped_stretches(text: str) -> Iterator[tuple[int, int, str, bool]]:
+    """Stretches (start, end, decoded, certain) that can be read as escape-coded Japanese. Certain are those with an
+    escape sign, and those in which at least half of three or more characters are kana or marks, whose first byte is
+    one of ``!$%``; that does not come about by chance."""
+    pos = 0
+    while m := _ESCAPED.search(text, pos):
+        pos = m.start() + 1
+        body = m.group(1)
+        try:
+            decoded = b"".join((b"\x1b$B", body.encode("ascii"), b"\x1b(B")).decode("iso2022_jp")
+        except UnicodeDecodeError:
+            continue
+        certain = m.group().startswith("\x1b") or len(decoded) >= 3 and 2 * sum(ch in "!$%" for ch in body[::2]) >= len(decoded)
+        if certain or m.group(2) is not None or len(decoded) >= 3:
+            pos = m.end()
+            yield m.start(), m.end(), decoded, certain
+
+
+def unescape(text: str, plausible: Plausibility) -> str | None:
+    """``text`` with its escape-coded Japanese decoded; null if there is none. Stretches not certain by their form
+    must be nearer to what all documents hold than to what none does."""
+    out, last = [], 0
+    for start, end, decoded, certain in escaped_stretches(text):
+        if certain or plausible(decoded) > plausible.floor / 2:
+            out.extend((text[last:start], decoded))
+            last = end
+    return "".join([*out, text[last:]]) if out else None
+
+
 def _spans(text: str, written: str, read: str) -> Iterator[tuple[int, int, str, int]]:
     """Stretches (start, end, restored, units) of ``text`` that come from a text written so and read so."""
     units = _UNITS[written]
@@ -230,12 +267,15 @@ def hints(rules: list[tuple[str, str]], plausible: Plausibility) -> tuple[str, l
 def restore(text: str, rules: tuple[str, list[tuple[str, str, str]]], plausible: Plausibility, *, least_gain: float = 0.5, rounds: int = 3) -> tuple[str, list[str]]:
     """``text`` with each line restored by the rules (from :func:`hints`) that leave the fewest implausible
     characters, one or two at a time (a text may have been garbled twice over), up to ``rounds`` times; and the rules
-    used."""
+    used. Escape-coded stretches are decoded first."""
+    used = []
+    if (plain := unescape(text, plausible)) is not None:
+        text, used = plain, [ESCAPED]
     gate = re.compile(rules[0])
     if not gate.search(text):
-        return text, []
+        return text, used
     compiled = [(w, r, re.compile(p)) for w, r, p in rules[1]]
-    lines, used = text.split("\n"), []
+    lines = text.split("\n")
     for i, line in enumerate(lines):
         if gate.search(line):
             lines[i], rule = _restore_line(line, compiled, plausible, least_gain, rounds)
@@ -330,9 +370,17 @@ def _hypotheses() -> list[tuple[str, str]]:
 
 
 def character_counts(docs: DataFrame, text: str) -> DataFrame:
-    """In how many rows each non-ASCII character occurs: ``ch``, ``n``; at most one row for each code point there is."""
+    """In how many rows each non-ASCII character occurs, those certainly escape-coded included: ``ch``, ``n``; at most one row for
+    each code point there is."""
     chars = F.array_distinct(F.split(F.regexp_replace(F.col(text), r"[\x00-\x7f]+", ""), ""))
-    return docs.select(F.explode(chars).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    plain = docs.select(F.explode(chars).alias("ch")).filter("ch <> ''")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"ch": [ch for t in batch["__text"] for ch in {c for s in escaped_stretches(t) if s[3] for c in s[2]}.difference(t) if ch > "\x7f"]}, dtype=object)
+
+    escaped = docs.select(F.col(text).alias("__text")).filter(F.col("__text").rlike(ESCAPE_OPENS)).mapInPandas(decode, "ch string")
+    return plain.unionByName(escaped).groupBy("ch").agg(F.count("*").alias("n"))
 
 
 def learn_rules(docs: DataFrame, text: str, plausible: Plausibility, *, least_gap: float = 1.0) -> DataFrame:
@@ -394,5 +442,5 @@ def repair_texts(docs: DataFrame, ident: str, text: str, *, least_witnesses: int
             yield pd.DataFrame(out, columns=[ident, "repaired", "rules", "complete"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    odd = source.filter(F.col("__text").rlike(r"[^\x00-\x7f]"))
+    odd = source.filter(F.col("__text").rlike(rf"[^\x00-\x7f]|{ESCAPE_OPENS}"))
     return odd.mapInPandas(mend, f"`{ident}` {kind}, repaired string, rules array<string>, complete boolean").distinct()

@@ -35,6 +35,31 @@ def test_a_single_sign():
     assert en.restore("Cost: Ã‚Â£78", hinted, plausible)[0] == "Cost: £78"
 
 
+@pytest.mark.parametrize("escape", ["", "\x1b"])
+@pytest.mark.parametrize("text", [CLEAN[0], "[00:12] " + CLEAN[1], f"see {CLEAN[6]} (no. 38)\n{CLEAN[0]} ok", "第38回", "予算38方針"])
+def test_escape_coded(text, escape):
+    bad = text.encode("iso2022_jp").decode("ascii").replace("\x1b", escape)
+    plausible = en.Plausibility({ch: 300 for t in [*CLEAN, "第回"] for ch in t if ch > "\x7f"}, 1000)
+    assert en.restore(bad, en.hints([], plausible), plausible) == (text, ["iso2022_jp>ascii"])
+
+
+def test_escape_coded_and_cut():
+    bad = CLEAN[1].encode("iso2022_jp").decode("ascii").replace("\x1b", "")
+    assert en.restore("as of now " + bad[:15], HINTED, PLAUSIBLE)[0].startswith("as of now " + CLEAN[1][:6])
+
+
+@pytest.mark.parametrize("text", ["Cost: $B and $J columns, see $(A).", "Cost: $B$1 to $B$10(B2)", "US$BIG(BIG)", "$Bcost(B)", "$Busiest(B) $@home(J)", "=SUM($B$1:$B$10)", "$BASE/$BIN(Bash)"])
+def test_dollar_signs_stay(text):
+    assert en.restore(text, HINTED, PLAUSIBLE) == (text, [])
+
+
+def test_escape_coded_rows(spark):
+    bad = [t.encode("iso2022_jp").decode("ascii").replace("\x1b", "") for t in (CLEAN[0], CLEAN[6])]
+    rows = [(0, bad[0]), (1, "¿" + bad[1]), (2, "Cost: $B and $J columns, see $(A).")]
+    got = {r.doc_id: (r.repaired, r.complete) for r in en.repair_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {0: (CLEAN[0], True), 1: ("¿" + CLEAN[6], True)}
+
+
 def test_partly_garbled_line():
     bad = CLEAN[0] + en.garble(CLEAN[1], "utf-8", "mac_roman")
     assert en.restore(bad, HINTED, PLAUSIBLE)[0] == CLEAN[0] + CLEAN[1]
