@@ -215,42 +215,48 @@ def _undo(text: str, written: str, read: str, plausible: Plausibility, least_gai
     return "".join([*out, text[last:]]) if out else None
 
 
-RARE = -2.5  # a character in fewer documents than this log share may open a garbled stretch
-
-
 def _leads(written: str, read: str, plausible: Plausibility) -> tuple[list[str], str]:
-    """The characters of the corpus that a stretch under a rule can begin with, and the pattern it begins in."""
-    rare = sorted(ch for ch, log in plausible.log.items() if log < RARE and ch != "\ufffd")
+    """The characters of the corpus that a stretch under a rule can begin with, and the pattern it begins in. Both
+    follow from the bytes alone: how often a character occurs says nothing here, as many texts may be damaged alike."""
+    corpus = sorted(ch for ch in plausible.log if ch != "\ufffd")
     cls = lambda chars: "[" + "".join(map(re.escape, chars)) + "]" if chars else "(?!)"
     if read in SINGLE_BYTE:
-        table, back = _table(read), _reading(read)
+        back = _reading(read)
         if written == "utf-8":
-            first = [ch for ch in rare if 0xC2 <= table.get(ch, 0) < 0xF5]
+            first = list(back[0xC2:0xF5])
             return first, cls(first) + cls(back[0x80:0xC0])
-        first = [ch for ch in rare if 0x81 <= table.get(ch, 0) < 0xFD and table[ch] != 0xA0]
+        first = list(back[0x81:0xA0] + back[0xA1:0xFD])
         trail = cls(back[0x40:0x7F] + back[0x80:0xFD])
-        return first, f"{cls(first)}{trail}{cls(back[0x81:0xA0] + back[0xA1:0xFD])}{trail}"
+        return first, f"{cls(first)}{trail}{cls(first)}{trail}"
     if (written, read) == ("euc_jp", "cp932"):
-        return [ch for ch in rare if _HALF.match(ch)], "[\uff61-\uff9f]{2}"
+        return [ch for ch in corpus if _HALF.match(ch)], "[\uff61-\uff9f]{2}"
     if written == "utf-8":
         first, single, then = [], [], []
-        for ch in plausible.log:
+        for ch in corpus:
             b = _bytes_of(ch, read)
-            if not b or ch == "\ufffd":
+            if not b:
                 continue
             if 0x80 <= b[0] < 0xC0:
                 then.append(ch)
-            if plausible.log[ch] >= RARE:
-                continue
             if len(b) == 1 and 0xC2 <= b[0] < 0xF5 or len(b) > 1 and 0xE0 <= b[0] < 0xF5 and 0x80 <= b[1] < 0xC0:
                 first.append(ch)
             elif len(b) == 2 and 0xC2 <= b[0] < 0xE0 and 0x80 <= b[1] < 0xC0:
                 single.append(ch)
-        return first + single, f"{cls(sorted(first))}{cls(sorted(then))}|{cls(sorted(single))}{{4}}"
-    # What the characters that many documents hold turn into, unless many hold that too.
-    made = {g for ch, log in plausible.log.items() if log > -6 for g in (garble(ch * 2, written, read) or "")}
-    first = [ch for ch in rare if ch in made and plausible.log[ch] < -3.5]
-    return first, f"{cls(first)}{{2}}"
+        return first + single, f"{cls(first)}{cls(then)}|{cls(single)}{{4}}"
+    # A character that is just one unit of the written encoding turns into one character, so a stretch of them gains
+    # only if one of them does. All others are tried.
+    first = []
+    for ch in corpus:
+        if (b := _bytes_of(ch, read)) is None:
+            continue
+        if len(b) == 2 and _UNITS[written].fullmatch(b.decode("latin-1")):
+            try:
+                if plausible.log.get(b.decode(written), plausible.floor) <= plausible.log[ch]:
+                    continue
+            except UnicodeDecodeError:
+                continue
+        first.append(ch)
+    return first, cls(first)
 
 
 def hints(rules: list[tuple[str, str]], plausible: Plausibility) -> tuple[str, list[tuple[str, str, str]]]:

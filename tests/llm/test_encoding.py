@@ -60,6 +60,13 @@ def test_escape_coded_rows(spark):
     assert got == {0: (CLEAN[0], True), 1: ("¿" + CLEAN[6], True)}
 
 
+def test_common_leads_are_tried():
+    plausible = en.Plausibility({"é": 700, "Ã": 330, "©": 330, "の": 660, "ã": 330, "\x81": 330, "®": 330}, 1000)
+    hinted = en.hints([("utf-8", "latin-1")], plausible)
+    assert en.restore("cafÃ© cafÃ©", hinted, plausible)[0] == "café café"
+    assert en.restore("ã\x81®", hinted, plausible)[0] == "の"
+
+
 def test_partly_garbled_line():
     bad = CLEAN[0] + en.garble(CLEAN[1], "utf-8", "mac_roman")
     assert en.restore(bad, HINTED, PLAUSIBLE)[0] == CLEAN[0] + CLEAN[1]
