@@ -44,12 +44,21 @@ def pfair_schedule(weights: list[int]) -> list[int]:
 
 
 def _integer_weights(shares: list[float], denominator: int) -> list[int]:
-    """Whole weights that sum to ``denominator`` and are nearest to the shares (largest remainders)."""
+    """Whole weights that sum to ``denominator`` and are nearest to the shares (largest remainders), but at least 1 for
+    each positive share, at the expense of the largest."""
     whole = sum(shares)
     exact = [Fraction(s).limit_denominator(10**9) / Fraction(whole).limit_denominator(10**9) * denominator for s in shares]
     out = [int(x) for x in exact]
     for i in sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))[: denominator - sum(out)]:
         out[i] += 1
+    heap = [(-w, i) for i, w in enumerate(out) if w > 1]
+    heapq.heapify(heap)
+    for i, share in enumerate(shares):
+        if share > 0 and out[i] == 0:
+            w, most = heapq.heappop(heap)
+            out[i], out[most] = 1, out[most] - 1
+            if out[most] > 1:
+                heapq.heappush(heap, (w + 1, most))
     return out
 
 

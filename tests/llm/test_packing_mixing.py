@@ -132,3 +132,12 @@ def test_tokens(spark):
     enc = encoding(TOKENIZERS, VOCABULARY)
     assert enc.decode(enc.encode_ordinary("hello hello")) == "hello hello"
     assert got[1] == len(enc.encode_ordinary("hello hello")) and got[2] == got[3] == 0 and got[4] > 1000 and len(got) == 4
+
+
+def test_order_holds_sources_with_tiny_shares(spark):
+    rows = [(i, "big", 1000) for i in range(300)] + [(1000, "tiny", 1), (1001, "small", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    mix = Mixture(df, "doc_id", "source", "tokens", [("big", 0.99999, 1), ("tiny", 0.000004, 1), ("small", 0.000006, 1)])
+    uses = sum(r.repeats for r in mix.records().collect())
+    got = mix.order(block=100).collect()
+    assert len(got) == uses and {r.source for r in got} == {r.source for r in mix.records().collect()} >= {"tiny", "big"}
