@@ -166,7 +166,7 @@ def find_mentions(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int,
     if has_digit or any(ch in _K for ch in text):
         for m in _ID.finditer(folded):
             take(*m.span(1), "id_number")
-        if "市" in text or "県" in text or "区" in text or "丁目" in text or "〒" in text:
+        if any(ch in text for ch in "都道府県市区郡町村"):
             for m in _ADDRESS_JA.finditer(folded):
                 a, b = m.span()
                 take(a + _lead(folded, a), b, "address")
@@ -185,7 +185,7 @@ def find_mentions(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int,
         for m in _KANJI_PHONE.finditer(text):
             if is_phone(_digits(m.group()), False, True, False):
                 take(*m.span(), "phone")
-    if any(w in low for w in ("five", "zero", "one ")):
+    if any(w in low for w in _SPOKEN):
         for m in _SPOKEN_PHONE.finditer(folded):
             take(*m.span(), "phone")
     for pattern in patterns:
