@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloq.functions.text import path_stem
-from colloq.operators.runs import running_total
+from colloq.operators.runs import nth_free, running_total
 
 # Order of processing states; others come last.
 STATE_ORDER = {"PROCESSING": 0, "QUEUED": 1, "PENDING": 1, "ERROR": 2, "DONE": 3}
@@ -52,9 +52,17 @@ def history(outputs: DataFrame, sources: DataFrame, path: str, extensions: tuple
     return outputs.select(path_stem(F.col(path)).alias("stem"), F.col(path).alias("output_path")).join(found, "stem")
 
 
-def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """``unique_name``: the name for the first of equal names, name_2, name_3, ... for the others; the suffix goes before the extension."""
-    n = F.row_number().over(W.partitionBy(name).orderBy(*order))
-    ext = F.regexp_extract(F.col(name), r"(?<=[^/])\.[^./]*$", 0)
-    stem = F.regexp_replace(F.col(name), r"(?<=[^/])\.[^./]*$", "")
-    return df.withColumn("__n", n).withColumn("unique_name", F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("__n").cast("string"), ext))).drop("__n")
+def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
+    """``unique_name``: a name nobody else has. The first row by ``order`` (a whole number, unique) of each name keeps
+    it; the others get the next of name_2, name_3, ... that no row has as its own name. The suffix goes before the
+    extension. Null names stay null."""
+    split = {"__stem": F.regexp_replace(F.col(name), r"(?<=[^/])\.[^./]*$", ""), "__ext": F.regexp_extract(F.col(name), r"(?<=[^/])\.[^./]*$", 0)}
+    rows = running_total(df.filter(F.col(name).isNotNull()).withColumn("__one", F.lit(1)), [name], order, "__one", "__nth").drop("__one").withColumns(split)
+    numbered = r"^(.*)_([1-9][0-9]{0,17})$"
+    taken = rows.select(F.regexp_extract("__stem", numbered, 1).alias("__stem"), "__ext", F.regexp_extract("__stem", numbered, 2).alias("__k")).filter("__k <> ''").select("__stem", "__ext", F.col("__k").cast("bigint").alias("__k"))
+    again = nth_free(rows.filter("__nth > 0"), taken, ["__stem", "__ext"], "__nth", "__k", "__free", first=2)
+    again = again.withColumn("unique_name", F.concat("__stem", F.lit("_"), F.col("__free").cast("string"), "__ext"))
+    first = rows.filter("__nth = 0").withColumn("unique_name", F.col(name))
+    columns = [*df.columns, "unique_name"]
+    bare = df.filter(F.col(name).isNull()).withColumn("unique_name", F.lit(None).cast("string"))
+    return first.select(columns).unionByName(again.select(columns)).unionByName(bare)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colloq.functions import lexicons
 from colloq.functions.text import clamp01, strip
-from colloq.operators.runs import running_total
+from colloq.operators.runs import nth_free, running_total
 from colloq.session import checkpoint
 
 
@@ -96,16 +96,15 @@ def valid_topics(topics: DataFrame, statements: DataFrame) -> DataFrame:
 
 def relation_ids(relations: DataFrame) -> DataFrame:
     """``rel_id`` for each relation: its own ``id`` where that isn't empty and is the session's only one of that name;
-    the others get r1, r2, ... in order of ``rel_pos``, skipping names in use."""
-    own = F.length("id") > 0
-    counted = relations.withColumn("__n", F.sum(F.when(own, 1).otherwise(0)).over(W.partitionBy("session", "id")))
-    counted = counted.withColumn("__keep", own & (F.col("__n") == 1)).withColumn("__keep", F.coalesce("__keep", F.lit(False)))
-    taken = counted.filter("__keep").select("session", F.expr("CASE WHEN id RLIKE '^r[1-9][0-9]{0,17}$' THEN CAST(substr(id, 2) AS BIGINT) END").alias("k")).filter("k IS NOT NULL")
-    taken = taken.groupBy("session").agg(F.array_sort(F.collect_set("k")).alias("used"))
-    rest = counted.filter("NOT __keep").withColumn("__i", F.row_number().over(W.partitionBy("session").orderBy("rel_pos")).cast("bigint")).join(taken, "session", "left")
-    skip = F.aggregate(F.coalesce("used", F.expr("cast(array() as array<bigint>)")), F.col("__i"), lambda acc, u: F.when(u <= acc, acc + 1).otherwise(acc))
-    numbered = rest.withColumn("rel_id", F.concat(F.lit("r"), skip.cast("string"))).drop("__i", "used")
-    return counted.filter("__keep").withColumn("rel_id", F.col("id")).unionByName(numbered).drop("__n", "__keep")
+    the others get r1, r2, ... in order of ``rel_pos`` (a whole number, unique in the session), skipping names in use."""
+    own = relations.filter(F.length("id") > 0).groupBy("session", "id").agg((F.count("*") == 1).alias("__keep"))
+    counted = relations.join(own, ["session", "id"], "left").withColumn("__keep", F.coalesce("__keep", F.lit(False)))
+    kept = counted.filter("__keep")
+    taken = kept.select("session", F.expr("CASE WHEN id RLIKE '^r[1-9][0-9]{0,17}$' THEN CAST(substr(id, 2) AS BIGINT) END").alias("__k")).filter("__k IS NOT NULL")
+    rest = running_total(counted.filter("NOT __keep").withColumn("__one", F.lit(1)), ["session"], "rel_pos", "__one", "__i").withColumn("__i", F.col("__i") + 1)
+    numbered = nth_free(rest, taken, ["session"], "__i", "__k", "__free").withColumn("rel_id", F.concat(F.lit("r"), F.col("__free").cast("string")))
+    columns = [*relations.columns, "rel_id"]
+    return kept.withColumn("rel_id", F.col("id")).select(columns).unionByName(numbered.select(columns))
 
 
 def statement_terms(statements: DataFrame, extracted: DataFrame, most: int = 6) -> DataFrame:

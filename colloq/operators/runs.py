@@ -45,3 +45,19 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, name:
     sums = rows.groupBy(*place).agg(F.sum(value).alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum")
     here = W.partitionBy(*place).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return rows.join(sums, place).withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("__stretch", "__base")
+
+
+def nth_free(asked: DataFrame, taken: DataFrame, keys: list[str], nth: str, number: str, name: str, *, first: int = 1) -> DataFrame:
+    """Adds ``name``: the ``nth`` (from 1, unique in the entity) whole number from ``first`` on that isn't among the
+    entity's ``taken`` ones (column ``number``).
+
+    A taken number lies behind as many free ones as there are numbers before it that aren't taken; the answer is the
+    plain count plus the taken numbers met on the way. Both are running totals, so no entity's numbers are collected.
+    """
+    used = running_total(taken.filter(F.col(number) >= first).select(*keys, number).distinct().withColumn("__one", F.lit(1)), keys, number, "__one", "__before")
+    steps = used.groupBy(*keys, (2 * (F.col(number) - first - F.col("__before"))).cast("bigint").alias("__pos")).agg(F.count("*").alias("__met"))
+    asks = asked.select(*keys, (2 * F.col(nth) - 1).cast("bigint").alias("__pos"), F.lit(0).cast("bigint").alias("__met"))
+    met = running_total(steps.unionByName(asks), keys, "__pos", "__met", "__skip").filter("__pos % 2 <> 0")
+    met = met.select(*keys, ((F.col("__pos") + 1) / 2).cast("bigint").alias(nth), "__skip")
+    found = asked.withColumn(nth, F.col(nth).cast("bigint")).join(met, [*keys, nth])
+    return found.withColumn(name, F.col(nth) + (first - 1) + F.col("__skip")).drop("__skip")

@@ -100,12 +100,16 @@ def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statements' own topics as a list with members."""
     rows = _statements(spark, sf_dir).filter("topic_id IS NOT NULL")
     members = F.transform(F.array_sort(F.collect_list(F.struct("stmt_pos", "id"))), lambda x: x["id"])
-    return rows.groupBy("session", F.col("topic_id").alias("id")).agg(members.alias("statement_ids")).withColumn("label", F.when(F.col("id") == "t3", F.lit("")).otherwise(F.col("id")))
+    return rows.groupBy("session", F.col("topic_id").alias("id")).agg(members.alias("statement_ids")).withColumn("label", F.col("id"))
 
 
 def validate_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _statements(spark, sf_dir).filter("stmt_pos % 5 <> 0")
-    return discourse.valid_topics(_topics(spark, sf_dir), known).select("session", "id", "label", F.array_join("statement_ids", ",").alias("members"))
+    """The topics among some that a check must drop: unknown members, topics of such only, topics without a label."""
+    own, unknown = _topics(spark, sf_dir), F.array(F.lit("s0"), F.lit("nobody"))
+    listed = own.withColumn("statement_ids", F.concat(F.slice(unknown, 1, 1), "statement_ids", unknown))
+    bare = own.withColumns({"label": F.lit(""), "id": F.concat(F.lit("bare "), "id")})
+    lone = own.withColumns({"statement_ids": unknown, "id": F.concat(F.lit("lone "), "id")})
+    return discourse.valid_topics(listed.unionByName(bare).unionByName(lone), _statements(spark, sf_dir)).select("session", "id", "label", F.array_join("statement_ids", ",").alias("members"))
 
 
 def topic_of_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +202,7 @@ _RULES = " UNION ".join(
         _rule("hidden edge has a hidden end", "a || '|' || b", "(SELECT * FROM (SELECT session, a, b, unnest([a, b]) AS id FROM he) SEMI JOIN hidden USING (session, id))"),
     ]
 )
-_TOPICS = f"{_ST}, tp AS (SELECT session, topic_id AS tid, CASE WHEN topic_id = 't3' THEN '' ELSE topic_id END AS label FROM st WHERE topic_id IS NOT NULL GROUP BY ALL)"
+_TOPICS = f"{_ST}, tp AS (SELECT session, topic_id AS tid, topic_id AS label FROM st WHERE topic_id IS NOT NULL GROUP BY ALL)"
 
 _TOPIC_LIST = f"""{_WEIGHTS}, b AS (SELECT session, a AS x, b AS y FROM e UNION SELECT session, b, a FROM e),
 reach AS (SELECT session, term, term AS r FROM w UNION SELECT reach.session, term, y FROM reach JOIN b ON b.session = reach.session AND b.x = reach.r),
@@ -242,7 +246,7 @@ SQL = {
 SELECT session, id, utterance_index, CASE WHEN length(speaker) > 0 THEN speaker ELSE spk END AS speaker, text FROM st JOIN u ON u.session_id = st.session AND u.utt_index = st.utterance_index WHERE length({sql_trim('text')}) > 0""",
     "validate_relations": f"WITH {_NOISY} SELECT session, source, target, type, rel_pos, least(1.0, greatest(0.0, confidence)) AS confidence, marker, rule FROM ok WHERE k = 1",
     "validate_topics": f"""WITH {_TOPICS} SELECT tp.session, tid AS id, label, string_agg(st.id, ',' ORDER BY stmt_pos) AS members
-FROM tp JOIN st ON st.session = tp.session AND st.topic_id = tid WHERE label <> '' AND stmt_pos % 5 <> 0 GROUP BY ALL""",
+FROM tp JOIN st ON st.session = tp.session AND st.topic_id = tid GROUP BY ALL""",
     "relation_ids": f"""WITH {_RELATIONS}, own AS (SELECT session, rel_pos, CASE rel_pos % 4 WHEN 0 THEN 'r' || (rel_pos // 4) WHEN 1 THEN 'same' ELSE '' END AS id FROM rel),
 marked AS (SELECT *, id <> '' AND count(*) OVER (PARTITION BY session, id) = 1 AS keep FROM own),
 amount AS (SELECT session, count(*) AS m FROM own GROUP BY ALL), numbers AS (SELECT session, unnest(generate_series(1, 2 * m)) AS k FROM amount),

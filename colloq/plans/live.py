@@ -65,8 +65,10 @@ def history_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name of its own for each row of the log, among names that already look like such."""
     rows = table(spark, sf_dir, "jobs").distinct().select("version_no", "filename")
-    return changelog.unique_names(rows, "filename", ["version_no"])
+    numbered = rows.groupBy("filename").agg(F.max("version_no").alias("n")).select((F.col("n") + 1_000_000).alias("version_no"), F.regexp_replace("filename", r"(\.[^./]*)$", "_3$1").alias("filename"))
+    return changelog.unique_names(rows.unionByName(numbered), "filename", "version_no")
 
 
 def _finals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +121,12 @@ n AS (SELECT DISTINCT '/done/' || filename AS path FROM j UNION SELECT '/done/'
 r AS (SELECT path, {_STEM.format('path')} AS stem, list_position(['.mp3', '.wav', '.m4a'], lower(regexp_extract(path, '\\.[^./]*$'))) AS k FROM n),
 b AS (SELECT stem, arg_min(path, (k, path)) AS source_path FROM r WHERE k > 0 GROUP BY stem)
 SELECT stem, o.path AS output_path, source_path FROM o JOIN b ON b.stem = {_STEM.format('o.path')}""",
-    "unique_names": """WITH j AS (SELECT DISTINCT version_no, filename FROM jobs), k AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY version_no) AS n FROM j)
-SELECT version_no, filename, CASE WHEN n = 1 THEN filename ELSE regexp_replace(filename, '(.)\\.[^./]*$', '\\1') || '_' || n || regexp_extract(filename, '\\.[^./]*$') END AS unique_name FROM k""",
+    "unique_names": r"""WITH j AS (SELECT DISTINCT version_no, filename FROM jobs),
+g AS (SELECT * FROM j UNION ALL SELECT max(version_no) + 1000000, regexp_replace(filename, '(\.[^./]*)$', '_3\1') FROM j GROUP BY filename),
+k AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY version_no) - 1 AS nth, regexp_replace(filename, '\.[^./]*$', '') AS stem, regexp_extract(filename, '\.[^./]*$') AS ext FROM g),
+many AS (SELECT filename, any_value(stem) AS stem, any_value(ext) AS ext, unnest(generate_series(2, 2 + 2 * count(*))) AS n FROM k GROUP BY filename),
+free AS (SELECT filename, n, row_number() OVER (PARTITION BY filename ORDER BY n) AS nth FROM many WHERE stem || '_' || n || ext NOT IN (SELECT filename FROM g))
+SELECT version_no, k.filename, CASE WHEN k.nth = 0 THEN k.filename ELSE stem || '_' || n || ext END AS unique_name FROM k LEFT JOIN free ON free.filename = k.filename AND free.nth = k.nth""",
     "last_n_finals": f"WITH {_FINALS} SELECT session_id, utt_index, utt_id, CAST(k AS INTEGER) AS from_last FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY utt_index DESC, utt_id DESC) AS k FROM u) WHERE k <= 100",
     "draft_text": f"WITH {_FINALS}, d AS (SELECT session_id AS session, coalesce(start_s, 0.0) AS t0, text FROM u) SELECT session, t0, printf('[%02d:%02d] ', CAST(floor(t0) AS BIGINT) // 60, CAST(floor(t0) AS BIGINT) % 60) || text AS line FROM d",
 }

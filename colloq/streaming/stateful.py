@@ -82,12 +82,11 @@ def graph_stream(terms: DataFrame, **parameters) -> DataFrame:
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         graph = GraphFold(**parameters)
         if held := _load(state):
-            graph.seq, graph.nodes = held["seq"], {w: list(n) for w, n in held["nodes"]}
-            graph.edges = {(a, b): w for a, b, w in held["edges"]}
+            graph.restored(held)
         rows = pd.concat(list(batches)).sort_values(["utt", "ord", "word"])
         for _, part in rows.groupby("utt", sort=True):
             graph.add(zip(part["word"], part["score"].fillna(1.0), strict=True))
-        state.update((json.dumps({"seq": graph.seq, "nodes": list(graph.nodes.items()), "edges": [[a, b, w] for (a, b), w in graph.edges.items()]}),))
+        state.update((json.dumps(graph.state()),))
         seq, nodes, edges = graph.snapshot()
         yield pd.DataFrame([{"session": key[0], "seq": seq, "nodes": nodes, "edges": edges}])
 

@@ -90,7 +90,9 @@ def test_changelog(spark):
     assert got == {"a": (2, 3), "b": (3, 0), "c": (4, 99)}
     assert [r.v for r in changelog.last_rows(df, ["f"], ["v"], 1).orderBy("v").collect()] == [2, 3, 4]
     names = spark.createDataFrame([(1, "x.wav"), (2, "x.wav"), (3, ".x"), (4, ".x"), (5, "x.wav")], "o long, n string")
-    assert [r.unique_name for r in changelog.unique_names(names, "n", ["o"]).orderBy("o").collect()] == ["x.wav", "x_2.wav", ".x", ".x_2", "x_3.wav"]
+    assert [r.unique_name for r in changelog.unique_names(names, "n", "o").orderBy("o").collect()] == ["x.wav", "x_2.wav", ".x", ".x_2", "x_3.wav"]
+    taken = spark.createDataFrame([(1, "a.wav"), (2, "a.wav"), (3, "a_2.wav"), (4, "a_2.wav"), (5, "a.wav"), (6, "a_4.wav"), (7, None)], "o long, n string")
+    assert [r.unique_name for r in changelog.unique_names(taken, "n", "o").orderBy("o").collect()] == ["a.wav", "a_3.wav", "a_2.wav", "a_2_2.wav", "a_5.wav", "a_4.wav", None]
     out = spark.createDataFrame([("/o/m.txt",), ("/o/q.txt",)], "path string")
     src = spark.createDataFrame([("/d/m.wav",), ("/d/m.MP3",), ("/d/m.flac",)], "path string")
     assert [tuple(r) for r in changelog.history(out, src, "path").collect()] == [("m", "/o/m.txt", "/d/m.MP3")]
