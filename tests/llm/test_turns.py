@@ -41,14 +41,52 @@ def test_noise_is_dropped(noise):
     assert T.clean_speech(noise) == ""
 
 
-@pytest.mark.parametrize("speech", ["違います。", "次。", "Agreed.", "（なお、予算は対象外です。）", "(See backlog.)", "（在庫試験の図）を見ます。", "うん、それで行きます。", "Three of them.", "考えと違います。", "Mr. Retry", "hum is low"])
+@pytest.mark.parametrize("speech", ["違います。", "次。", "Agreed.", "（なお、予算は対象外です。）", "(See backlog.)", "（在庫試験の図）を見ます。", "うん、それで行きます。", "Three of them.", "考えと違います。", "Mr. Retry", "hum is low", "そのうち行きます", "あのうちの猫", "um die Ecke", "5 mm+ screws", "Uh-huh means yes", "I pressed [click] here.", "ER visits: the er doctor", "3 mm, 5 mm", "UM and MM, ER.", "シャワー室", "ええと言った", "Err on the side"])
 def test_speech_stays(speech):
     assert T.clean_speech(speech) == speech
 
 
+@pytest.mark.parametrize(("text", "clean"), [("Um, so er, we erm wait, uh... yes, hmm", "so we wait, yes,"), ("あのー、その件えっとはうーん、来週です。あー…", "その件は来週です。"), ("Mm-hmm, I agree. Uh-huh.", "I agree."), ("んー はい", "はい"), ("[click] So [noise] (laughs)", "So"), ("えー音声です", "音声です")])
+def test_hesitations_go(text, clean):
+    assert T.clean_speech(text) == clean
+
+
+def test_names_join():
+    names = ["Tanaka Hanako", "T. Hanako", "Hanako Tanaka", "TANAKA HANAKO", "Tanaka Hnaako", "田中花子", "田中 花子", "田中花子さん", "Anna Berg", "Anton Berg", "A. Berg", "佐藤健", "佐藤健一", "Kay", "Ray"]
+    got = T.cluster_labels([(n, 9 if n == "Tanaka Hanako" else 1) for n in names])
+    assert {n for n in names if got[n] == "Tanaka Hanako"} == set(names[:5])
+    assert len({got[n] for n in names[5:8]}) == 1
+    assert len({got[n] for n in names[8:]}) == 7
+
+
+def test_planted_variants():
+    r = random.Random(4)
+    people = [f"{a} {b}" for a in ("Wilhelmina", "Bartholomew", "Konstantin", "Seraphina") for b in ("Ostergaard", "Lindqvist", "Featherstone")]
+
+    def variant(n):
+        a, b = n.split()
+        i = r.randrange(1, len(b) - 1)
+        return r.choice([f"{b}, {a}", n.upper(), f"{a}_{b}", f"{a} {b[:i]}{b[i + 1 :]}", f"{a} {b[:i]}{b[i + 1]}{b[i]}{b[i + 2 :]}", f"{a}  {b}."])
+
+    planted = {variant(n): n for n in people * 8}
+    got = T.cluster_labels([(n, 100) for n in people] + [(v, 1) for v in planted if v not in people])
+    assert sum(got[v] == n for v, n in planted.items()) >= 0.9 * len(planted)
+    assert all(got[n] == n for n in people)
+
+
+def test_many_and_long_names_are_quick():
+    T.cluster_labels([(f"person {i:06d} of the hall", 1) for i in range(5000)] + [("x" * 20_000, 1)])
+
+
+def test_names_in_the_table(spark):
+    rows = [(1, 1, 0, "Anna Berg", 0.0, "はい。", "z"), (1, 2, 1, "ANNA  BERG", 5.0, "次。", "z"), (1, 3, 2, "S2", 6.0, "では。", "z"), (2, 4, 0, "anna berg", 0.0, "はい。", "z"), (2, 5, 1, "Karl", 3.0, "はい。", "z")]
+    got = T.speaker_turns(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(x.file_id, x.speaker, x.segments) for x in got} == {(1, "ANNA  BERG", 2), (1, "SPEAKER_02", 1), (2, "anna berg", 1), (2, "Karl", 1)}
+
+
 def test_clusters():
     got = T.cluster_labels([("SPEAKER_01", 3), ("SPEAKER_10", 2), ("Anna Berg", 5), ("Anna  Berg", 1), ("anna berg", 1), ("Anton Berg", 2), ("Karl", 1), ("x" * 5000, 1)])
-    assert got["Anna  Berg"] == got["anna berg"] == "Anna Berg" and got["Karl"] == "Karl" and got["Anton Berg"] == "Anton Berg"
+    assert got["Anna  Berg"] == got["anna berg"] == got["Anna Berg"] == "Anna Berg" and got["Karl"] == "Karl" and got["Anton Berg"] == "Anton Berg"
     assert got["SPEAKER_01"] == "SPEAKER_01" and got["SPEAKER_10"] == "SPEAKER_10"
 
 
