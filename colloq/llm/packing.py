@@ -18,18 +18,19 @@ from colloq.session import checkpoint
 
 
 class RoomTree:
-    """How many open containers have each remaining capacity, as a segment tree over 0..capacity."""
+    """How many open containers have each remaining capacity, as a segment tree over 0..capacity of which only the
+    nodes that hold any are kept: its size follows the open containers, not the capacity."""
 
     def __init__(self, capacity: int) -> None:
         self.size = 1 << max(1, capacity.bit_length())
-        self.count = [0] * (2 * self.size)
+        self.count: dict[int, int] = {}
         self.open: dict[int, list[int]] = {}
 
     def add(self, room: int, container: int) -> None:
         self.open.setdefault(room, []).append(container)
         i = room + self.size
         while i:
-            self.count[i] += 1
+            self.count[i] = self.count.get(i, 0) + 1
             i >>= 1
 
     def take(self, least: int) -> tuple[int, int] | None:
@@ -37,18 +38,24 @@ class RoomTree:
         count, i = self.count, least + self.size
         if i >= 2 * self.size:
             return None
-        if not count[i]:
-            while i > 1 and (i & 1 or not count[i + 1]):
+        if i not in count:
+            while i > 1 and (i & 1 or i + 1 not in count):
                 i >>= 1
             if i <= 1:
                 return None
             i += 1
             while i < self.size:
-                i = 2 * i if count[2 * i] else 2 * i + 1
+                i = 2 * i if 2 * i in count else 2 * i + 1
         room = i - self.size
-        container = self.open[room].pop()
+        held = self.open[room]
+        container = held.pop()
+        if not held:
+            del self.open[room]
         while i:
-            count[i] -= 1
+            if count[i] == 1:
+                del count[i]
+            else:
+                count[i] -= 1
             i >>= 1
         return room, container
 
@@ -79,11 +86,10 @@ def pack(items: DataFrame, ident: str, size: str, kinds: list[tuple[str, int]],
     Result: ``bin_kind``, ``capacity``, ``ident``, ``piece``, ``pieces``, ``size`` and ``container``, a name unique in
     its kind. Only an item larger than the capacity is cut: into pieces that fill a container each, and a last one that
     is packed with the rest. Items of size 0 take no room. Rows with a null ``ident`` or size, or a negative size, are
-    left out; kinds without a positive capacity give no rows.
+    left out; kinds without a positive capacity give no rows. ``kinds`` are part of the plan: each of them packs all
+    items once more, so the result is as many times as large as the input.
     """
     kinds = sorted({(k, int(c)) for k, c in kinds if k is not None and c is not None and c > 0})
-    if len(kinds) > 1000:
-        raise ValueError("more than 1000 kinds of container")
     ident_type = items.schema[ident].dataType
     base = items.select(F.col(ident).alias("item"), F.col(size).cast("long").alias("size")).filter("item IS NOT NULL AND size >= 0")
     base = checkpoint(base)  # sizes are dear to find and needed for the number of shards and for each kind

@@ -17,7 +17,7 @@ from colloq.llm.tokens import count_tokens
 from colloq.llm.turns import speaker_turns
 from colloq.plans.intervals import USABLE_TURNS_SQL, usable_turns
 from colloq.plans.sql import sql_trim
-from colloq.session import table
+from colloq.session import checkpoint, table
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,20 +76,44 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_turns(spark, sf_dir).select("file_id", "speaker", F.col("first_id").alias("first_segment_id"), F.col("last_id").alias("last_segment_id")).distinct()
 
 
+def _kinds(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    """One row a kind, and each kind packs all documents once: the list is as short as the result allows."""
+    return [(r.bin_kind, r.capacity_tokens) for r in table(spark, sf_dir, "bin_sizes").distinct().collect()]
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = [(r.bin_kind, r.capacity_tokens) for r in table(spark, sf_dir, "bin_sizes").distinct().limit(1001).collect()]
-    return pack(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "tokens", kinds)
+    return pack(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "tokens", _kinds(spark, sf_dir))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills(p7_containers(spark, sf_dir))
 
 
+def _characters(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents with their size in characters, which SQL can count too."""
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    return table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").groupBy("doc_id", *columns).agg(F.max(size).alias("size"))
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of any right packing, of all documents by characters: nothing is lost or doubled, only what is larger
+    than a container is cut, none is overfull, and at most one container of a shard is filled to half or less."""
+    packed = checkpoint(pack(_characters(spark, sf_dir), "doc_id", "size", _kinds(spark, sf_dir)))
+    pieces = packed.groupBy("bin_kind", "capacity", "doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.countDistinct("piece").alias("d"))
+    whole = pieces.groupBy("bin_kind", "capacity").agg(F.count("*").alias("documents"), F.sum("n").alias("pieces"), F.sum("size").alias("used"), F.sum(F.when(F.col("n") != F.col("d"), 1).otherwise(0)).alias("doubled"), F.sum(F.when((F.col("n") > 1) & (F.col("size") <= F.col("capacity")), 1).otherwise(0)).alias("cut_in_vain"))
+    shard = F.regexp_extract("container", r"^(s[0-9]+)\.", 1)
+    each = fills(packed).withColumn("shard", shard).groupBy("bin_kind", "shard").agg(F.sum((F.col("used") > F.col("capacity")).cast("long")).alias("overfull"), F.sum((2 * F.col("used") <= F.col("capacity")).cast("long")).alias("half_empty"))
+    return whole.join(each.groupBy("bin_kind").agg(F.sum("overfull").alias("overfull"), (F.max("half_empty") <= 1).alias("tight")), "bin_kind")
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "source_targets").select("source", "target_share", "max_repeats")
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
     documents = table(spark, sf_dir, "documents").withColumn("source_name", normal_source("source"))
     sized = count_tokens(documents.withColumn("k", F.struct("doc_id", "source_name")), "k", "text").select("k.doc_id", "k.source_name", "tokens")
-    targets = [(r.source, r.target_share, r.max_repeats) for r in table(spark, sf_dir, "source_targets").distinct().limit(10_001).collect()]
-    return Mixture(sized, "doc_id", "source_name", "tokens", targets)
+    return Mixture(sized, "doc_id", "source_name", "tokens", _targets(spark, sf_dir))
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +125,26 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture(spark, sf_dir).order(block=8192)
+    return _mixture(spark, sf_dir).order()
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of any right mixture, of all documents by characters: each source's quota is met to less than its
+    largest document and no document is used too often, and in the order every use stands once and each source, after
+    any number of slots, has had less than a block more or less than its share of them."""
+    documents = _characters(spark, sf_dir, "source").withColumn("source", normal_source("source"))
+    mix = Mixture(documents, "doc_id", "source", "size", _targets(spark, sf_dir))
+    chosen, order = checkpoint(mix.records()), checkpoint(mix.order())
+    per = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("used"), F.max("repeats").alias("most"), F.sum("repeats").alias("uses"), F.max("size").alias("largest"))
+    largest = documents.groupBy("source").agg(F.max("size").alias("largest_at_all"))
+    whole = mix.plan.agg(F.sum("share")).first()[0] or 1.0
+    each = order.groupBy("source", "block", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(mix.plan.select("source", "share"), "source")
+    share = F.col("share") / F.lit(whole)
+    stray = F.greatest(F.abs(F.col("block") + 1 - share * (F.col("slot") + 1)), F.abs(F.col("block") - share * F.col("slot")))
+    seen = each.groupBy("source").agg(F.sum("n").alias("placed"), F.sum("size").alias("placed_size"), (F.max(stray) < 1.000001).alias("fair"))
+    out = mix.plan.join(per, "source").join(largest, "source").join(seen, "source").join(mix.targets.select("source", "uses").withColumnRenamed("uses", "allowed"), "source")
+    met = (F.col("used") <= F.col("quota")) & (F.col("quota") - F.col("used") < F.col("largest_at_all"))
+    return out.select("source", "available", "quota", met.alias("quota_met"), (F.col("most") <= F.col("allowed")).alias("within_repeats"), ((F.col("placed") == F.col("uses")) & (F.col("placed_size") == F.col("used"))).alias("each_use_once"), "fair")
 
 
 def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +167,11 @@ QUERIES = {
     "p6_turns": p6_turns,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_invariants": p7_invariants,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
     "p8_order": p8_order,
+    "p8_invariants": p8_invariants,
     "p9_found": p9_found,
     "p9_repaired": p9_repaired,
 }
@@ -139,4 +184,14 @@ w AS (SELECT DISTINCT file_id, word_ord, CAST(round(start_s * 1000) AS BIGINT) A
 m AS (SELECT turn_id, t.file_id, word_ord, row_number() OVER (PARTITION BY turn_id ORDER BY least(abs(w.a - t.a), abs(w.b - t.a)), w.a, word_ord) AS k
       FROM t JOIN w ON w.file_id = t.file_id AND least(abs(w.a - t.a), abs(w.b - t.a)) <= 250)
 SELECT turn_id, file_id, word_ord FROM m WHERE k = 1""",
+    "p7_invariants": """
+WITH d AS (SELECT doc_id, max(coalesce(length(text), 0)) AS size FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+k AS (SELECT DISTINCT bin_kind, CAST(capacity_tokens AS BIGINT) AS capacity FROM bin_sizes WHERE capacity_tokens > 0)
+SELECT bin_kind, capacity, count(*) AS documents, CAST(sum(greatest(1, (size + capacity - 1) // capacity)) AS BIGINT) AS pieces, CAST(sum(size) AS BIGINT) AS used,
+  CAST(0 AS BIGINT) AS doubled, CAST(0 AS BIGINT) AS cut_in_vain, CAST(0 AS BIGINT) AS overfull, true AS tight FROM d, k GROUP BY ALL""",
+    "p8_invariants": r"""
+WITH d AS (SELECT doc_id, regexp_replace(lower(regexp_replace(source, '^[\s　 ]+|[\s　 ]+$', '', 'g')), '[\s　 \-_]+', '_', 'g') AS source, max(coalesce(length(text), 0)) AS size FROM documents GROUP BY doc_id, documents.source),
+a AS (SELECT source, CAST(sum(size) AS BIGINT) AS available, any_value(target_share) AS share, any_value(max_repeats) AS uses FROM d JOIN (SELECT DISTINCT * FROM source_targets) t USING (source) WHERE size > 0 GROUP BY source),
+t AS (SELECT sum(share) AS whole, floor(min(available * uses * (SELECT sum(share) FROM a) / share)) AS total FROM a)
+SELECT source, available, CAST(least(floor(share / whole * total + 0.5), available * uses) AS BIGINT) AS quota, true AS quota_met, true AS within_repeats, true AS each_use_once, true AS fair FROM a, t""",
 }

@@ -84,7 +84,7 @@ def test_mixture(spark):
     rows = [(i, r.choices(["a", "b", "c", "other"], [6, 3, 1, 1])[0], r.randrange(1, 60)) for i in range(1500)] + [(None, "a", 5), (9001, None, 5), (9002, "a", 0), (9003, "a", None)]
     df = spark.createDataFrame([(*x, "z", "z") for x in rows], RECORDS)
     targets = [("a", 0.3, 1), ("b", 0.3, 2), ("c", 0.4, 3), ("gone", 0.2, 1), (None, 0.1, 1), ("zero", 0.0, 1)]
-    m = Mixture(df, "id", "src", "size", targets, bucket_records=100)
+    m = Mixture(df, "id", "src", "size", targets, block=200, bucket_records=100)
     size = {i: (s, n) for i, s, n in rows if i is not None}
     chosen = {x.id: x.repeats for x in m.records().collect()}
     limit = {"a": 1, "b": 2, "c": 3}
@@ -97,7 +97,7 @@ def test_mixture(spark):
         assert shares[s].used == used[s] and abs(used[s] / total - w) < 0.005
         assert shares[s].actual_share == round(used[s] / total, 6)
     assert any(used[s] == shares[s].available * limit[s] for s in limit)  # one source is used up
-    order = m.order(block=200, denominator=100).collect()
+    order = m.order().collect()
     assert sum(x.size for x in order) == total
     assert {i: sum(x.id == i for x in order) for i in chosen} == chosen
     blocks = {}
@@ -112,7 +112,7 @@ def test_mixture(spark):
 def test_empty_mixture(spark):
     empty = spark.createDataFrame([], RECORDS)
     m = Mixture(empty, "id", "src", "size", [("a", 1.0, 1)])
-    assert m.records().count() == 0 and m.order(10).count() == 0
+    assert m.records().count() == 0 and m.order().count() == 0
     assert [(x.used, x.actual_share) for x in m.shares().collect()] == [(0, 0.0)]
     assert Mixture(empty, "id", "src", "size", []).records().count() == 0
 
@@ -137,7 +137,36 @@ def test_tokens(spark):
 def test_order_holds_sources_with_tiny_shares(spark):
     rows = [(i, "big", 1000) for i in range(300)] + [(1000, "tiny", 1), (1001, "small", 2)]
     df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
-    mix = Mixture(df, "doc_id", "source", "tokens", [("big", 0.99999, 1), ("tiny", 0.000004, 1), ("small", 0.000006, 1)])
+    mix = Mixture(df, "doc_id", "source", "tokens", [("big", 0.99999, 1), ("tiny", 0.000004, 1), ("small", 0.000006, 1)], block=100)
     uses = sum(r.repeats for r in mix.records().collect())
-    got = mix.order(block=100).collect()
+    got = mix.order().collect()
     assert len(got) == uses and {r.source for r in got} == {r.source for r in mix.records().collect()} >= {"tiny", "big"}
+
+
+@pytest.mark.parametrize("shares", [[1 / 3, 1 / 7, 1 - 1 / 3 - 1 / 7], [0.000015, 0.999985], [0.5, 0.3, 0.2]])
+def test_long_mixtures_do_not_drift(spark, shares):
+    blocks = 20_000
+    rows = [(s * blocks * 2 + i, str(s), 10) for s, w in enumerate(shares) for i in range(int(w * blocks) + 2)]
+    df = spark.createDataFrame(rows, "id long, source string, size long")
+    mix = Mixture(df, "id", "source", "size", [(str(s), w, 1) for s, w in enumerate(shares)], block=10)
+    done = [0] * len(shares)
+    for n, x in enumerate(sorted(mix.order().collect(), key=lambda x: x.slot)[: blocks - 10], 1):
+        done[int(x.source)] += 1
+        assert x.slot == n - 1
+        assert all(abs(d - w * n) < 2 for d, w in zip(done, shares, strict=True))
+
+
+def test_room_tree_of_a_huge_capacity():
+    sizes = np.array(sorted((random.Random(1).randrange(1, 10**9) for _ in range(2000)), reverse=True))
+    where = best_fit_decreasing(sizes, 10**9)
+    assert np.bincount(where, weights=sizes).max() <= 10**9
+    t = RoomTree(10**9)
+    t.add(5, 0)
+    assert len(t.count) <= 32 and t.take(6) is None and t.take(5) == (5, 0) and not t.count and not t.open
+
+
+def test_targets_as_a_table(spark):
+    records = spark.createDataFrame([(i, "a" if i % 3 else "b", 5) for i in range(60)], "id long, source string, size long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("a", 0.25, 9), ("b", 0.5, 2), ("b", None, 1), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = {x.source: x for x in Mixture(records, "id", "source", "size", targets).shares().collect()}
+    assert set(got) == {"a", "b"} and got["a"].target_share == 0.5 and got["a"].used == got["b"].used == 200
