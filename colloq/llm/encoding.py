@@ -1,10 +1,13 @@
 """Text read with a wrong character encoding: finding it and undoing it.
 
-Lines that are much less plausible than a near-twin are joined with it on what is left of both once the non-ASCII
-characters are stripped. Where the two differ, the characters are aligned under each hypothesis "written in A, read as
-B": a hypothesis counts a witness when it turns the clean stretch into exactly the garbled one. Hypotheses with enough
-witnesses are the learned transformations; they are undone in all remaining texts wherever that gives more plausible
-characters. Plausibility is how many documents a character occurs in, over the whole corpus.
+Records (lines and the parts of them that ASCII marks set apart) are joined with near-twins on what is left of them
+once the non-ASCII characters are stripped, together with the pattern in which their non-ASCII bytes recur: a wrong
+reading changes the characters but neither the ASCII text nor the pattern, so twins meet whatever the reading was, and
+others hardly do. Twins are aligned character by character; the bytes of the clean one lie against the characters of the
+garbled one, which gives the transformation. Where the reading takes bytes of neighbouring characters together there is
+no such pattern; there the garbled record is undone under each pair of encodings and joined with the clean record that
+it becomes. Transformations with enough witnesses are undone in all texts, wherever that gives more plausible characters
+(how many documents a character occurs in, over the whole corpus) or words of one script and case.
 
 Escape-coded Japanese (ISO-2022-JP read as ASCII, often with the escape signs lost) has no non-ASCII character to compare;
 its stretches are found by their form and decoded where what comes out is plausible.
@@ -12,8 +15,10 @@ its stretches are found by their form and decoded where what comes out is plausi
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,10 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloq.session import checkpoint
+
 # Encodings that a text may wrongly be read as, and those it may have been written in.
 SINGLE_BYTE = ("latin-1", "cp1252", "mac_roman", "cp437", "cp1250", "cp1251", "cp1254", "cp850", "koi8_r", "iso8859_15")
 MULTI_BYTE = ("cp932", "gbk", "big5", "cp949", "euc_jp")
-WRITTEN = ("utf-8", "cp932", "euc_jp", "gbk", "cp949", "big5", "latin-1", "cp1252")
 
 # Code units of a multi-byte character, on bytes seen as latin-1 text.
 _UNITS = {
@@ -198,20 +204,56 @@ def _end(place: Callable[[int], int], end: int) -> int:
     return place(end - 1) + 1
 
 
+@lru_cache(maxsize=100_000)
+def _class(ch: str) -> str:
+    """What a character may stand next to in a word: its script, and its case where it has one."""
+    if ch.isspace():
+        return " "
+    kind = unicodedata.category(ch)
+    if kind[0] == "L" or kind == "Mn":
+        script = "a" if ch < "\x80" else {"LATIN": "a"}.get(unicodedata.name(ch, "?").split(" ")[0], unicodedata.name(ch, "?").split(" ")[0][:4])
+        return script + ("U" if ch.isupper() else "l")
+    return "s" if kind[0] == "S" or kind in ("Cc", "Co", "Cn") else "p"
+
+
+def _breaks(text: str) -> int:
+    """Places inside words where script or case change in a way that words don't."""
+    out, before = 0, " "
+    for ch in text:
+        now = _class(ch)
+        if before not in " p" and now not in " p" and before != now and not (before.endswith("U") and now.endswith("l") and before[:-1] == now[:-1]):
+            out += 1
+        before = now
+    return out
+
+
+@lru_cache(maxsize=100_000)
+def _unassigned(ch: str) -> bool:
+    return unicodedata.category(ch) in ("Cn", "Co")
+
+
+def _mends_words(text: str, start: int, end: int, restored: str) -> bool:
+    """Whether the words around a stretch are sounder with what it is restored to, and that is all letters."""
+    before, after = text[max(0, start - 2) : start], text[end : end + 2]
+    return all(_class(ch)[-1] in "Ul" for ch in restored) and _breaks(before + restored + after) < _breaks(before + text[start:end] + after)
+
+
 def _undo(text: str, written: str, read: str, plausible: Plausibility, least_gain: float | None) -> str | None:
-    """``text`` with the stretches of one rule restored: those that become at least ``least_gain`` more plausible, or,
-    with null, all; null if there are none."""
+    """``text`` with the stretches of one rule restored: those that become at least ``least_gain`` more plausible or
+    mend the words they stand in, or, with null, all; null if there are none."""
     out, last = [], 0
     for start, end, restored, units in _spans(text, written, read):
-        if start < last or not _believable(text, start, end, units, written, read):
+        if start < last or not _believable(text, start, end, units, written, read) or any(map(_unassigned, restored)):
             continue
         if least_gain is not None:
             gain = plausible(restored) - plausible(text[start:end]) if not restored.isascii() else least_gain
             # Three and four bytes in the pattern of UTF-8 don't come together by chance, several times less so.
             wide = sum(ch >= "\u0800" for ch in restored) if written == "utf-8" and read in SINGLE_BYTE else 0
-        if least_gain is None or gain >= least_gain / max(1, wide):
-            out.extend((text[last:start], restored))
-            last = end
+            # Where many texts are garbled alike, counts say little.
+            if gain < least_gain / max(1, wide) and not (written == "utf-8" and read in SINGLE_BYTE and plausible(restored) > plausible.floor / 2 and _mends_words(text, start, end, restored)):
+                continue
+        out.extend((text[last:start], restored))
+        last = end
     return "".join([*out, text[last:]]) if out else None
 
 
@@ -270,10 +312,10 @@ def hints(rules: list[tuple[str, str]], plausible: Plausibility) -> tuple[str, l
     return "[" + "".join(map(re.escape, sorted(every))) + "]" if every else "(?!)", out
 
 
-def restore(text: str, rules: tuple[str, list[tuple[str, str, str]]], plausible: Plausibility, *, least_gain: float = 0.5, rounds: int = 3) -> tuple[str, list[str]]:
+def restore(text: str, rules: tuple[str, list[tuple[str, str, str]]], plausible: Plausibility, *, least_gain: float = 0.5) -> tuple[str, list[str]]:
     """``text`` with each line restored by the rules (from :func:`hints`) that leave the fewest implausible
-    characters, one or two at a time (a text may have been garbled twice over), up to ``rounds`` times; and the rules
-    used. Escape-coded stretches are decoded first."""
+    characters, one or two at a time (a text may have been garbled twice over), as long as that makes it more plausible;
+    and the rules used. Escape-coded stretches are decoded first."""
     used = []
     if (plain := unescape(text, plausible)) is not None:
         text, used = plain, [ESCAPED]
@@ -284,28 +326,33 @@ def restore(text: str, rules: tuple[str, list[tuple[str, str, str]]], plausible:
     lines = text.split("\n")
     for i, line in enumerate(lines):
         if gate.search(line):
-            lines[i], rule = _restore_line(line, compiled, plausible, least_gain, rounds)
+            lines[i], rule = _restore_line(line, compiled, plausible, least_gain)
             used.extend(r for r in rule if r not in used)
     return "\n".join(lines), used
 
 
-def _restore_line(text: str, rules: list[tuple[str, str, re.Pattern]], plausible: Plausibility, least_gain: float, rounds: int) -> tuple[str, list[str]]:
+def _cost(text: str, plausible: Plausibility) -> float:
+    """What the characters of a line cost, and the places where its words change script or case."""
+    return plausible.cost(text) + 2.0 * _breaks(text)
+
+
+def _restore_line(text: str, rules: list[tuple[str, str, re.Pattern]], plausible: Plausibility, least_gain: float) -> tuple[str, list[str]]:
     used: list[str] = []
-    for _ in range(rounds):
+    while True:
         found = []
         for written, read, need in rules:
             if not need.search(text):
                 continue
             once = _undo(text, written, read, plausible, least_gain)
             if once is not None:
-                found.append((plausible.cost(once), once, [f"{written}>{read}"]))
+                found.append((_cost(once, plausible), once, [f"{written}>{read}"]))
             if read not in SINGLE_BYTE or written != "utf-8" or (inner := _undo(text, written, read, plausible, None)) is None:
                 continue
             for w2, r2, need2 in rules:
                 if (w2, r2) in ((written, read), (written, "cp1252"), (written, "latin-1")) and need2.search(inner) and (twice := _undo(inner, w2, r2, plausible, least_gain)) is not None:
-                    found.append((plausible.cost(twice), twice, [f"{written}>{read}", f"{w2}>{r2}"]))
+                    found.append((_cost(twice, plausible), twice, [f"{written}>{read}", f"{w2}>{r2}"]))
         best = min(found, key=lambda x: (x[0], len(x[2]), x[2]), default=None)
-        if best is None or best[0] >= plausible.cost(text) - least_gain / 2:
+        if best is None or best[0] >= _cost(text, plausible) - least_gain / 2:
             break
         text = best[1]
         used.extend(best[2])
@@ -325,54 +372,112 @@ def _believable(text: str, start: int, end: int, units: int, written: str, read:
     return len(source) > 4 or not (start and _HALF.match(text[start - 1]) or end < len(text) and _HALF.match(text[end]))
 
 
-@lru_cache(maxsize=200_000)
-def _garbled(text: str, written: str, read: str) -> str | None:
-    return garble(text, written, read)
+# What sets parts of a line apart in a sound and in a garbled text alike; a label or mark at the head of a line.
+_APART = re.compile(r"(?<=[.!?,;:])\s+|(?<=[\])])\s*")
+_HEAD = re.compile(r"^(?:[\x00-\x7f]*?(?:: |\] |[-*#] )(?=[^\x00-\x7f]|\w))+")
 
 
-def explain(garbled: str, clean: str, hypotheses: list[tuple[str, str]]) -> list[str]:
-    """The hypotheses under which ``clean`` was read as ``garbled``: both whole, or from their first characters on,
-    aligned character by character for at least three characters of ``clean``."""
-    if garbled == clean or clean.isascii():
-        return []
-    found = []
-    for written, read in hypotheses:
-        if _garbled(clean, written, read) == garbled:
-            found.append(f"{written}>{read}")
-        elif len(clean) >= 3 and (head := _garbled(clean[:3], written, read)) is not None:
-            if read not in SINGLE_BYTE:
-                head = head[:-1]  # its last character may hold bytes of the next one
-            if len(head) >= 3 and garbled.startswith(head) and not clean.startswith(head):
-                found.append(f"{written}>{read}")
-    return found
-
-
-# A stretch to compare: non-ASCII characters, with at most two ASCII ones at a time among them (some encodings have
-# ASCII bytes inside characters), and what stands before and after it.
-_STRETCH = re.compile(r"[^\x00-\x7f](?:[^\x00-\x7f]|[\x21-\x7e]{1,2}(?=[^\x00-\x7f]))*")
-
-
-def stretches(text: str) -> set[tuple[str, str]]:
-    """(key, stretch) of a text. The key is what is left once the non-ASCII characters are stripped: of the sentence
-    where it holds enough ASCII, else of the ASCII text on either side of the stretch; digits count alike."""
+def records(text: str) -> set[str]:
+    """The lines of a text that hold non-ASCII characters, without labels at their head, their parts, and each of
+    their words that holds such characters with its neighbours; digits count alike."""
     out = set()
     for line in text.split("\n"):
-        if line.isascii():
+        if not line.isascii():
+            line = _HEAD.sub("", re.sub("[0-9]+", "0", line)).strip()
+            out.add(line)
+            out.update(part.strip() for part in _APART.split(line) if not part.isascii())
+            words = line.split(" ")
+            out.update(" ".join(words[max(0, i - 1) : i + 2]) for i, w in enumerate(words) if not w.isascii())
+    return out
+
+
+def _hash(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+_ASCII = re.compile(r"[\x00-\x7f]+")
+
+
+def _pattern(data: str) -> int:
+    """A hash of the ASCII text of ``data`` and of which of its other characters are the same."""
+    seen = dict.fromkeys(_ASCII.sub("", data))
+    return _hash("pattern", data.translate({ord(ch): 0x100 + i for i, ch in enumerate(seen)}))
+
+
+_READABLE = frozenset().union(*(_table(codec) for codec in SINGLE_BYTE))
+BOTH_WAYS = ("utf-8", *MULTI_BYTE)  # encodings of which one may be read as another
+LOSSY = ("latin-1", "cp1252", *MULTI_BYTE)  # and those that, read as UTF-8, leave U+FFFD
+
+
+def clean_keys(record: str) -> list[tuple[int, str]]:
+    """(key, how) under which a record is met as the clean twin: by its pattern under each multi-byte encoding, as it is,
+    and as what a lossy reading leaves of it."""
+    out = [(_hash("text", record), "")]
+    for written in BOTH_WAYS:
+        if (data := _encoded(record, written)) is not None and len(data) != len(record):
+            out.append((_pattern(data), written))
+    for written in LOSSY:
+        if (data := _encoded(record, written)) is not None and "\ufffd" in (left := data.encode("latin-1").decode("utf-8", "replace")):
+            out.append((_hash("lost", left), written))
+    return out
+
+
+def garbled_keys(record: str) -> list[tuple[int, str]]:
+    """(key, how) under which a record is met as the garbled twin."""
+    if "\ufffd" in record:
+        return [(_hash("lost", record), "utf-8")]
+    out = []
+    if all(ch < "\x80" or ch in _READABLE for ch in record):
+        out.append((_pattern(record), "?"))
+    for read in MULTI_BYTE:
+        if (data := _encoded(record, read)) is None:
             continue
-        plain = re.sub(r"\d+", "0", line)
-        for m in _STRETCH.finditer(plain):
-            before = re.search(r"[\x00-\x7f]*$", plain[max(0, m.start() - 24) : m.start()]).group()
-            after = re.match(r"[\x00-\x7f]*", plain[m.end() : m.end() + 24]).group()
-            if len(before) + len(after) >= 3:
-                out.add((before + "\x00" + after, m.group()[:24]))
-            if len(before) >= 3:
-                out.add((before, m.group()[:12]))
+        for written in BOTH_WAYS:
+            if written != read:
+                try:
+                    clean = data.encode("latin-1").decode(written)
+                except UnicodeDecodeError:
+                    continue
+                if clean != record and not clean.isascii():
+                    out.append((_hash("text", clean), f"{written}>{read}"))
     return out
 
 
-def _hypotheses() -> list[tuple[str, str]]:
-    reads = (*SINGLE_BYTE, *MULTI_BYTE, "utf-8")
-    return [(w, r) for w in WRITTEN for r in reads if w != r and not (w in ("latin-1", "cp1252") and r in SINGLE_BYTE)]
+def _encoded(text: str, codec: str) -> str | None:
+    """The bytes of ``text``, each as a character; null if it can't be written so."""
+    try:
+        return text.encode(codec).decode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
+def align(clean: str, garbled: str, written: str) -> list[tuple[str, str, str]] | None:
+    """Aligns two records character by character: of each non-ASCII character of ``clean`` its bytes and the characters of
+    ``garbled`` that lie against them, one a byte; null if they don't fit."""
+    out, at = [], 0
+    for ch in clean:
+        data = _encoded(ch, written)
+        if data is None or len(piece := garbled[at : at + len(data)]) != len(data):
+            return None
+        if any(b != g for b, g in zip(data, piece, strict=True) if b < "\x80" or g < "\x80"):
+            return None
+        if ch > "\x7f":
+            out.append((ch, data, piece))
+        at += len(data)
+    return out if at == len(garbled) and out else None
+
+
+def infer(clean: str, garbled: str, written: str, how: str) -> list[str]:
+    """The transformations that turn ``clean`` into ``garbled``: from their alignment those encodings whose table has
+    each aligned character at its byte; for readings that take bytes together, the pair that ``how`` names."""
+    if how != "?":
+        rule = how if ">" in how else f"{written}>{how}"
+        return [rule] if garble(clean, *rule.split(">")) == garbled else []
+    aligned = align(clean, garbled, written)
+    if aligned is None:
+        return []
+    table = {(b, g) for _, data, piece in aligned for b, g in zip(data, piece, strict=True)}
+    return [f"{written}>{codec}" for codec in SINGLE_BYTE if all(_table(codec).get(g) == ord(b) for b, g in table)]
 
 
 def character_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -389,42 +494,73 @@ def character_counts(docs: DataFrame, text: str) -> DataFrame:
     return plain.unionByName(escaped).groupBy("ch").agg(F.count("*").alias("n"))
 
 
+def _twins(rows: pd.DataFrame) -> pd.DataFrame:
+    one = rows[rows["clean"]].drop(columns="clean")
+    other = rows[~rows["clean"] & rows["key"].isin(one["key"])].drop(columns="clean")
+    both = one[one["key"].isin(other["key"])].merge(other, on="key", suffixes=("_c", "_g"))
+    return both[both["id_c"] != both["id_g"]].drop(columns="key")[["id_c", "how_c", "score_c", "id_g", "how_g", "score_g"]]
+
+
 def learn_rules(docs: DataFrame, text: str, plausible: Plausibility, *, least_gap: float = 1.0) -> DataFrame:
-    """Transformations with their number of witnesses (distinct pairs of stretches): ``rule``, ``witnesses``.
+    """Transformations with their number of witnesses (pairs of twins): ``rule``, ``witnesses``.
 
-    Of all stretches with one key only the most plausible serves as the clean twin, so a key that many texts share
-    costs one row and not their pairs.
+    Each distinct record is looked at once. Twins meet by an equality of 8-byte keys, which only records that one
+    reading turns into the other share, so no group of records is paired out. A garbled record has more characters than
+    its clean twin; where it has as many, it must be less plausible by ``least_gap``.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = {row for t in batch["__text"] for row in stretches(t)}
-            yield pd.DataFrame([(k, s, plausible(s)) for k, s in found], columns=["key", "stretch", "score"])
+            yield pd.DataFrame({"record": sorted({r for t in batch["__text"] for r in records(t)})}, dtype=object)
 
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, i, how, side, plausible(r)) for i, r in zip(batch["id"], batch["record"], strict=True) for side, keys in ((True, clean_keys(r)), (False, garbled_keys(r))) for k, how in keys]
+            yield pd.DataFrame(rows, columns=["key", "id", "how", "clean", "score"])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by key: those of each key that has rows of both sides, paired."""
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            ends = held["key"].to_numpy() != held["key"].iloc[-1]
+            yield _twins(held[ends])
+            held = held[~ends]
+        if held is not None:
+            yield _twins(held)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps the Python work spread
     source = docs.select(F.col(text).alias("__text")).filter(F.col("__text").rlike(r"[^\x00-\x7f]"))
-    rows = source.mapInPandas(split, "key string, stretch string, score double")
-    rows = rows.select(F.xxhash64("key").alias("key"), F.coalesce(F.col("key").contains("\x00"), F.lit(False)).alias("both"), "stretch", "score")
-    rows = rows.groupBy("key", "both", "stretch").agg(F.first("score").alias("score"), F.count("*").alias("n"))
-    # All three uses below read the same columns and filter only after aggregating, so the texts are split once and the
-    # shuffled result is used again.
-    gap = (F.col("score") < F.col("high") - least_gap) & (F.col("n") > 0)
-    likely = rows.groupBy("key").agg(F.max(F.struct("score", "stretch", "n")).alias("best"), F.max("both").alias("both")).filter("both")
-    likely = likely.select("key", "both", F.col("best.stretch").alias("twin"), F.col("best.score").alias("high"))
-    # Where only the text before counts, the twin is the beginning that is met most often.
-    heads = rows.groupBy("key", F.substring("stretch", 1, 3).alias("twin")).agg(F.sum("n").alias("n"), F.max("score").alias("high"), F.max("both").alias("both"))
-    often = heads.groupBy("key").agg(F.max(F.struct("n", "twin", "high")).alias("best"), F.max("both").alias("both")).filter("NOT both").select("key", "both", "best.twin", "best.high")
-    pairs = rows.join(likely.unionByName(often), ["key", "both"]).filter(gap).select("stretch", "twin").distinct()
-    hypotheses = _hypotheses()
-    witness = F.pandas_udf(lambda g, c: pd.Series([explain(a, b, hypotheses) for a, b in zip(g, c, strict=True)], dtype=object), "array<string>")
-    found = pairs.select(F.explode(witness("stretch", "twin")).alias("rule"))
+    every = checkpoint(source.mapInPandas(split, "record string").repartition(parts, "record").distinct().select(F.xxhash64("record").alias("id"), "record"))
+    keys = every.mapInPandas(emit, "key long, id long, how string, clean boolean, score double")
+    met = keys.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(meet, "id_c long, how_c string, score_c double, id_g long, how_g string, score_g double")
+    pairs = checkpoint(met.distinct())
+    for name in ("c", "g"):
+        pairs = pairs.join(every.toDF(f"id_{name}", f"record_{name}"), f"id_{name}")
+    sure = (F.length("record_g") > F.length("record_c")) | (F.col("score_g") < F.col("score_c") - least_gap) | F.col("record_g").contains("\ufffd")
+    witness = F.pandas_udf(lambda c, g, w, h: pd.Series([infer(*x) for x in zip(c, g, w, h, strict=True)], dtype=object), "array<string>")
+    found = pairs.filter(sure).select("id_c", "id_g", F.explode(witness("record_c", "record_g", "how_c", "how_g")).alias("rule")).distinct()
     return found.groupBy("rule").agg(F.count("*").alias("witnesses"))
 
 
+def lost_by(text: str, rules: list[tuple[str, str]]) -> str | None:
+    """The learned transformation that the unreadable characters left in ``text`` come from: C1 controls from bytes read
+    one by one, U+FFFD from a reading as UTF-8, of an encoding with one byte a character where they stand alone among
+    letters, else of one with more."""
+    if "\ufffd" not in text:
+        return next((f"{w}>{r}" for w, r in rules if r == "latin-1"), next((f"{w}>{r}" for w, r in rules if r in SINGLE_BYTE), None))
+    alone = len(re.findall(r"(?<!\ufffd)\ufffd(?!\ufffd)", text)) > text.count("\ufffd") / 2 and "\ufffd\ufffd\ufffd" not in text
+    trails = re.search(r"\ufffd[\x40-\x7e]\ufffd", text) is not None  # second bytes that EUC encodings don't have
+    order = sorted((w for w, r in rules if r == "utf-8"), key=lambda w: ((w in MULTI_BYTE) == alone, (w == "euc_jp") == trails))
+    return f"{order[0]}>utf-8" if order else None
+
+
 def repair_texts(docs: DataFrame, ident: str, text: str, *, least_witnesses: int = 2, least_gain: float = 0.5) -> DataFrame:
     """Texts that hold characters from a wrong reading, with what could be restored.
 
-    Result, for affected rows only: ``ident``, ``repaired``, ``rules`` (transformations undone, in order) and
-    ``complete`` (nothing unreadable is left). Null and empty texts and rows with a null ``ident`` are not affected; repeated rows come out once.
+    Result, for affected rows only: ``ident``, ``repaired``, ``rules`` (transformations undone, in order, then the one
+    that lost what is still unreadable; none if no transformation learned explains that) and ``complete`` (nothing
+    unreadable is left). Null and empty texts and rows with a null ``ident`` are not affected; repeated rows come out once.
     The character counts and the witness counts go to the driver: at most one row for each code point and for each
     pair of encodings. ``least_witnesses``: pairs of lines a transformation must explain to be used.
     """
@@ -432,8 +568,10 @@ def repair_texts(docs: DataFrame, ident: str, text: str, *, least_witnesses: int
     counted = source.agg(F.count("*")).first()[0]
     plausible = Plausibility({r.ch: r.n for r in character_counts(source, "__text").collect()}, counted)
     learned = learn_rules(source, "__text", plausible).filter(F.col("witnesses") >= least_witnesses).collect()
-    rules = sorted((r.rule.split(">")[0], r.rule.split(">")[1]) for r in learned)
-    rules = [r for r in rules if r[0] in _UNITS and r[1] != "utf-8"]
+    every = sorted((r.rule.split(">")[0], r.rule.split(">")[1]) for r in learned)
+    often = {r.rule: r.witnesses for r in learned}
+    ranked = sorted(every, key=lambda r: (-often[f"{r[0]}>{r[1]}"], r))
+    rules = [r for r in every if r[0] in _UNITS and r[1] != "utf-8"]
 
     hinted = hints(rules, plausible)
 
@@ -443,6 +581,8 @@ def repair_texts(docs: DataFrame, ident: str, text: str, *, least_witnesses: int
             for i, t in zip(batch["__id"], batch["__text"], strict=True):
                 mended, used = restore(t, hinted, plausible, least_gain=least_gain)
                 lost = _LOSS.search(mended) is not None
+                if lost and not any(rule.split(">")[1] in MULTI_BYTE for rule in used) and (rule := lost_by(mended, ranked)) is not None and rule not in used:
+                    used = [*used, rule]  # else what was undone had itself lost bytes
                 if used or lost or _LOSS.search(t):
                     out.append((i, mended, used, not lost))
             yield pd.DataFrame(out, columns=[ident, "repaired", "rules", "complete"])

@@ -77,11 +77,41 @@ def test_sound_texts_stay(text):
     assert en.restore(text, HINTED, PLAUSIBLE) == (text, [])
 
 
-def test_explain_aligns_stretches():
-    hypotheses = en._hypotheses()
-    for rule in [("utf-8", "cp1252"), ("utf-8", "cp932"), ("cp932", "latin-1"), ("euc_jp", "cp932")]:
-        assert f"{rule[0]}>{rule[1]}" in en.explain(en.garble("来週までに", *rule), "来週までに決めます", hypotheses)
-    assert en.explain("abc", "abc", hypotheses) == [] and en.explain("来週", "予算", hypotheses) == []
+def test_alignment_gives_the_transformation():
+    clean = "来週までに決めます。café 12"
+    for written, read in [("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("cp932", "latin-1")]:
+        text = clean if written == "utf-8" else clean.replace("é", "e")
+        bad = en.garble(text, written, read)
+        aligned = en.align(text, bad, written)
+        assert [ch for ch, _, _ in aligned] == [ch for ch in text if ch > "\x7f"]
+        assert "".join(piece for _, _, piece in aligned) == "".join(en.garble(ch, written, read) for ch in text if ch > "\x7f")
+        assert f"{written}>{read}" in en.infer(text, bad, written, "?")
+        assert en._pattern(text.encode(written).decode("latin-1")) == en._pattern(bad)
+    assert en.align("café", "cafe", "utf-8") is None and en.align("é", "Ã©x", "utf-8") is None and en.infer("é", "Ã¨", "utf-8", "?") == []
+
+
+@pytest.mark.parametrize(("rule", "text"), [(("utf-8", "cp1252"), CLEAN[2]), (("utf-8", "cp437"), CLEAN[4]), (("cp932", "latin-1"), CLEAN[0]), (("euc_jp", "cp932"), "来週までに"), (("utf-8", "gbk"), "予算方針"), (("latin-1", "utf-8"), CLEAN[2]), (("cp932", "utf-8"), CLEAN[1])])
+def test_twins_share_a_key(rule, text):
+    bad = en.garble(text, *rule)
+    assert any(">".join(rule) in en.infer(text, bad, w, how) for k, w in en.clean_keys(text) for g, how in en.garbled_keys(bad) if k == g)
+
+
+def test_records():
+    assert en.records("[00:12] SPEAKER_00: Le café, 12 côtés.\nplain") == {"Le café, 0 côtés.", "Le café,", "0 côtés.", "Le café, 0"}
+    assert en.records("") == en.records("abc") == set()
+
+
+@pytest.mark.parametrize("share", [79, 85, 90, 120, 300])
+def test_lead_characters_in_many_documents(share):
+    plausible = en.Plausibility({"é": 600, "Ã": share, "©": share}, 1000)
+    hinted = en.hints([("utf-8", "cp1252")], plausible)
+    assert en.restore("Le cafÃ© est", hinted, plausible)[0] == "Le café est"
+
+
+@pytest.mark.parametrize("garbled", [10, 20, 100, 300])
+def test_rare_letters_and_heavy_garbling(garbled):
+    plausible = en.Plausibility({"é": 30, "Ã": garbled, "©": garbled}, 1000)
+    assert en.restore("Le cafÃ© est", en.hints([("utf-8", "latin-1")], plausible), plausible)[0] == "Le café est"
 
 
 def corpus(r):
@@ -107,6 +137,27 @@ def test_table_form(spark):
     assert not got[1002].complete and got[1002].repaired == "lost � here"
 
 
+@pytest.mark.parametrize("every", [50, 10, 3])
+def test_recall_however_many_are_garbled(spark, every):
+    r = random.Random(every)
+    texts = corpus(r) * 2
+    rules = [("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("utf-8", "cp437")]
+    rows = [(i, en.garble(t, *rules[i // every % 3]) if i % every == 0 else t) for i, t in enumerate(texts)]
+    bad = {i for i, t in rows if t != texts[i]}
+    got = {x.doc_id: x for x in en.repair_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", least_witnesses=1).collect()}
+    assert len(bad & set(got)) >= 0.96 * len(bad) and set(got) <= bad
+    assert sum(got[i].repaired == texts[i] for i in bad & set(got)) >= 0.9 * len(bad)
+
+
+def test_lost_characters_get_a_rule(spark):
+    r = random.Random(8)
+    texts = corpus(r)
+    rows = list(enumerate(texts)) + [(1000 + i, en.garble(t, "cp1252", "utf-8")) for i, t in enumerate(texts[:40]) if en.garble(t, "cp1252", "utf-8")]
+    got = {x.doc_id: x for x in en.repair_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert set(got) == {i for i, t in rows if "\ufffd" in t}
+    assert all(x.rules == ["cp1252>utf-8"] and not x.complete for x in got.values())
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert en.repair_texts(df, "doc_id", "text").count() == 0
