@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from colloq.llm.encoding import repair_texts
 from colloq.llm.mixing import Mixture, normal_source
 from colloq.llm.nearest import nearest_in_time
 from colloq.llm.packing import fills, pack
-from colloq.llm.personal import name_parts, personal_information
+from colloq.llm.personal import TYPES, personal_information
 from colloq.llm.sentences import fit_sentence_model, split_sentences
 from colloq.llm.tokens import count_tokens
 from colloq.llm.turns import speaker_turns
@@ -46,14 +48,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select("turn_id", "file_id", F.col("point_id").alias("word_ord")).distinct()
 
 
+def _secret(spark: SparkSession) -> bytes:
+    """The key of pseudonyms: the session's ``spark.colloq.pseudonymKey``; without it one made for this query and kept
+    nowhere, so that nobody can undo them and no other query's pseudonyms are alike."""
+    given = spark.conf.get("spark.colloq.pseudonymKey", None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = table(spark, sf_dir, "segments").select(F.lit("segments").alias("src"), F.col("segment_id").alias("rec_id"), "text")
     utterances = table(spark, sf_dir, "utterances").select(F.lit("utterances").alias("src"), F.col("utt_id").alias("rec_id"), "text")
-    return personal_information(segments.unionByName(utterances), ["src", "rec_id"], "text", name_parts(table(spark, sf_dir, "roster")))
+    return personal_information(segments.unionByName(utterances), ["src", "rec_id"], "text", table(spark, sf_dir, "roster"), key=_secret(spark), dates=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = p4_redacted(spark, sf_dir).select("src", "rec_id", F.explode("mentions").alias("m"))
+    found = p4_redacted(spark, sf_dir).select("src", "rec_id", F.explode("mentions").alias("m")).filter(F.col("m.pii_type").isin(*TYPES))
     return found.select("src", "rec_id", "m.pii_type", "m.start_char", "m.end_char").distinct()
 
 
