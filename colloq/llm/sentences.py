@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,19 +62,31 @@ def _kind(ch: str) -> str:
     return "0" if ch.isdigit() else ch
 
 
+_CLOSED_BY = {o: {c, "”"} if o == "„" else {c} for o, c in PAIRS.items()}
+
+
 def _match_pairs(line: str) -> dict[int, int]:
-    """Opening to closing positions; marks without their other half, and apostrophes, are no pairs."""
-    stack: list[tuple[str, int]] = []
+    """Opening to closing positions; marks without their other half, and apostrophes, are no pairs. Each mark is looked
+    at once: for each closing sign the places in the stack of those it may close are kept, and outdated ones skipped."""
+    stack: list[int] = []
+    places: dict[str, list[tuple[int, int]]] = {}
     pairs: dict[int, int] = {}
     for i, ch in enumerate(line):
-        k = next((n for n in range(len(stack) - 1, -1, -1) if PAIRS[stack[n][0]] == ch or ch == "”" and stack[n][0] == "„"), None) if ch in CLOSERS else None
-        if ch == "’" and k is not None and 0 < i < len(line) - 1 and line[i - 1].isalpha() and line[i + 1].isalpha():
-            continue
-        if k is not None:
-            pairs[stack[k][1]] = i
-            del stack[k:]
-        elif ch in PAIRS:
-            stack.append((ch, i))
+        if ch in CLOSERS:
+            held = places.get(ch, [])
+            while held and (held[-1][0] >= len(stack) or stack[held[-1][0]] != held[-1][1]):
+                held.pop()
+            if held:
+                if ch == "’" and 0 < i < len(line) - 1 and line[i - 1].isalpha() and line[i + 1].isalpha():
+                    continue
+                k, opened = held.pop()
+                pairs[opened] = i
+                del stack[k:]
+                continue
+        if ch in PAIRS:
+            for closer in _CLOSED_BY[ch]:
+                places.setdefault(closer, []).append((len(stack), i))
+            stack.append(i)
     return pairs
 
 
@@ -100,6 +112,10 @@ def _before(line: str, at: int, most: int = 200) -> str:
     return line[max(0, at - most) : at].rstrip()[-1:]
 
 
+# Polite forms end a sentence wherever a noun or a quotation follows them, marked or not.
+_POLITE = re.compile(r"(?:です|ます|ました|でした|ません|ましょう|でしょう|ください)$")
+
+
 def _spots(line: str) -> list[Spot]:
     pairs = _match_pairs(line)
     inside = bytearray(len(line) + 1)
@@ -139,7 +155,8 @@ def _spots(line: str) -> list[Spot]:
         blank = line[j + 1 : k]
         if k >= n:
             break
-        if mark or blank and (unspaced or len(blank) > 1 or "　" in blank) or bare and k == j + 1:
+        run_on = not mark and not blank and unspaced and not bare and _POLITE.search(line, max(0, j - 4), j + 1) and _kind(line[k]) in "ck「『"
+        if mark or blank and (unspaced or len(blank) > 1 or "　" in blank) or bare and k == j + 1 or run_on:
             dots = opener < 0 and not blank and (mark == "." or mark == "．" and line[k].isalnum() or mark and set(mark) <= {"…"})
             latin = not mark and blank == " " and _kind(line[j]) in "Ul0" and _kind(line[k]) in "Ul0"
             if not dots and not latin and (mark or line[k] not in STRONG):
@@ -227,7 +244,7 @@ def _at_blank(line: str, s: Spot) -> bool:
     if before.endswith(THAI_FINAL):
         return True
     if not s.blank:
-        return False
+        return bool(_POLITE.search(before)) and _kind(line[s.after]) in "ck「『"
     return _kind(before[-1]) in "hkc♪" and bool(_FINAL_JA.search(before))
 
 
@@ -267,68 +284,75 @@ def _features(line: str, s: Spot) -> list[str]:
         out.append(f"D{len(s.mark)}|{len(word) == 1 and word.isalpha()}|{word in ABBREVIATIONS}|{word in FINAL_TOO}|{'.' in word}|{kind}|{hk in 'gdacht'}|{dated}")
         out += [f"w{word[-8:]}|{kind in 'l'}", f"a{word in ABBREVIATIONS}|{word in FINAL_TOO}|{kind}|{blank}", f"i{len(word) == 1 and word.isalpha()}|{kind}", f"d{word.isdigit() and len(word) < 3}|{kind}|{bool(re.search(r'(?:am|vom|zum) \d{1,2}$', line[max(0, s.at - 8) : s.at]))}", f"ab{word in ABBREVIATIONS and word not in FINAL_TOO}", f"abc{bool(re.fullmatch(r'(?:[^\W\d_]\.)+[^\W\d_]', word))}|{kind}"]
     if not mark:
-        out += [f"x1{before[-1:]}|{blank}", f"x2{before[-2:]}|{blank}", f"x3{before[-3:]}|{blank}", f"x4{before[-4:]}", f"x2{before[-2:]}|{nxt[:1]}", f"xk{hk}|{kind}|{blank}", f"f{bool(_FINAL_JA.search(line[max(0, s.at - 6) : s.at + 1]))}|{kind}|{blank}", f"th{before.endswith(THAI_FINAL)}|{blank}"]
+        final = bool(_FINAL_JA.search(line[max(0, s.at - 6) : s.at + 1]))
+        out += [f"x1{before[-1:]}|{blank}", f"x2{before[-2:]}|{blank}", f"x3{before[-3:]}|{blank}", f"x4{before[-4:]}", f"x2{before[-2:]}|{nxt[:1]}", f"xk{hk}|{kind}|{blank}", f"f{final}|{kind}|{blank}", f"th{before.endswith(THAI_FINAL)}|{blank}"]
     return out
 
 
+def _viterbi(scores: list[float], steps: list[float]) -> list[bool]:
+    """The best sequence of tags, given how much better a boundary is than none at each spot, and what the steps from tag
+    to tag (00, 01, 10, 11) are worth."""
+    if not scores:
+        return []
+    to0, to1, from10, from11 = steps
+    inside, boundary = 0.0, scores[0]
+    back: list[tuple[bool, bool]] = []
+    for emit in scores[1:]:
+        came = inside + to0 < boundary + from10, inside + to1 < boundary + from11
+        back.append(came)
+        inside, boundary = (boundary + from10 if came[0] else inside + to0), (boundary + from11 if came[1] else inside + to1) + emit
+    tag = boundary > inside
+    tags = [tag]
+    for came in reversed(back):
+        tag = came[tag]
+        tags.append(tag)
+    tags.reverse()
+    return tags
+
+
 class ChainModel:
     """Weights of a first-order chain over the tags inside (0) and boundary (1)."""
 
     def __init__(self, weights: dict[str, float] | None = None) -> None:
         self.weights = {} if weights is None else weights
 
-    def decode(self, features: list[list[str]], handicap: list[float] | None = None) -> list[bool]:
-        """The best tag sequence (Viterbi). ``handicap`` is added to the boundary's score at each spot, in training."""
-        if not features:
-            return []
+    def decode(self, features: list[list[str]]) -> list[bool]:
+        """The best tag sequence."""
         w = self.weights
-        t = [[w.get(f"t{a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)]
-        score, back = [0.0, 0.0], []
-        for k, fs in enumerate(features):
-            emit = sum(w.get(f, 0.0) for f in fs) + (handicap[k] if handicap else 0.0)
-            if k == 0:
-                score = [0.0, emit]
-                continue
-            came = [0 if score[0] + t[0][b] >= score[1] + t[1][b] else 1 for b in (0, 1)]
-            score = [score[came[0]] + t[came[0]][0], score[came[1]] + t[came[1]][1] + emit]
-            back.append(came)
-        tag = int(score[1] > score[0])
-        tags = [tag]
-        for came in reversed(back):
-            tag = came[tag]
-            tags.append(tag)
-        return [bool(x) for x in reversed(tags)]
+        return _viterbi([sum([w.get(f, 0.0) for f in fs]) for fs in features], [w.get(t, 0.0) for t in ("t00", "t01", "t10", "t11")])
+
 
     @classmethod
     def train(cls, data: list[tuple[list[list[str]], list[bool]]], epochs: int = 30, margin: float = 4.0) -> ChainModel:
         """Weights under which the right tags win by ``margin`` at each spot, as far as ``epochs`` passes get."""
-        model = cls(defaultdict(float))
-        total: dict[str, float] = defaultdict(float)
+        number: dict[str, int] = {f"t{a}{b}": 2 * a + b for a in (0, 1) for b in (0, 1)}
+        rows = [([[number.setdefault(f, len(number)) for f in fs] for fs in features], gold) for features, gold in data]
+        weights, total = [0.0] * len(number), [0.0] * len(number)
         step = 0
-        order, shuffle = list(data), random.Random(7)
+        shuffle = random.Random(7)
         for _ in range(epochs):
             wrong = 0
-            shuffle.shuffle(order)
-            for features, gold in order:
+            shuffle.shuffle(rows)
+            for features, gold in rows:
                 step += 1
-                guess = model.decode(features, [-margin if g else margin for g in gold])
+                guess = _viterbi([sum([weights[f] for f in fs]) + (-margin if g else margin) for fs, g in zip(features, gold, strict=True)], weights[:4])
                 if guess == gold:
                     continue
                 wrong += 1
                 for k, (g, p) in enumerate(zip(gold, guess, strict=True)):
                     if g != p:
+                        d = 1.0 if g else -1.0
                         for f in features[k]:
-                            model.weights[f] += (d := 1.0 if g else -1.0)
+                            weights[f] += d
                             total[f] += d * step
                     if k:
-                        for tags, d in (((gold[k - 1], g), 1.0), ((guess[k - 1], p), -1.0)):
-                            f = f"t{int(tags[0])}{int(tags[1])}"
-                            model.weights[f] += d
+                        for f, d in ((2 * gold[k - 1] + g, 1.0), (2 * guess[k - 1] + p, -1.0)):
+                            weights[f] += d
                             total[f] += d * step
             if not wrong:
                 break
         step = max(step, 1)
-        return cls({f: w - total[f] / (step + 1) for f, w in model.weights.items() if w or total[f]})
+        return cls({f: weights[i] - total[i] / (step + 1) for f, i in number.items() if weights[i] or total[i]})
 
 
 def _stripped(line: str, spots: list[Spot], ends: list[bool], blank: str) -> tuple[str, set[int]]:
@@ -347,20 +371,21 @@ def _stripped(line: str, spots: list[Spot], ends: list[bool], blank: str) -> tup
 
 def training_data(texts: list[str]) -> list[tuple[list[list[str]], list[bool]]]:
     """Each line as it is and with its marks stripped, as (features, tags) of its spots."""
-    data = []
-    for text in texts:
-        for m in _LINE.finditer(text):
-            line = m.group()
-            spots = _spots(line)
-            ends = teach(line, spots)
-            if spots:
-                data.append(([_features(line, s) for s in spots], ends))
-            if any(_kind(ch) in "hkct" for ch in line):
-                for blank in ("　", " ", ""):
-                    bare, places = _stripped(line, spots, ends, blank)
-                    again = [s for s in _spots(bare)]
-                    if again and (blank or len(bare) < 120):
-                        data.append(([_features(bare, s) for s in again], [s.at in places or _keeps(bare, s, places) for s in again]))
+    data: list[tuple[list[list[str]], list[bool]]] = []
+
+    def learn(line: str, spots: list[Spot], tags: list[bool]) -> None:
+        if spots:
+            data.append(([_features(line, s) for s in spots], tags))
+
+    for line in (m.group() for text in texts for m in _LINE.finditer(text)):
+        spots = _spots(line)
+        ends = teach(line, spots)
+        learn(line, spots, ends)
+        if any(_kind(ch) in "hkct" for ch in line):
+            for blank in ("　", " ", ""):
+                bare, places = _stripped(line, spots, ends, blank)
+                again = _spots(bare)
+                learn(bare, again, [s.at in places or _keeps(bare, s, places) for s in again])
     return data
 
 
@@ -386,10 +411,17 @@ def sentence_spans(text: str, model: ChainModel) -> list[tuple[int, int]]:
     return out
 
 
-def fit_sentence_model(texts: DataFrame, text: str, sample: int = 8000) -> ChainModel:
-    """A model fitted to at most ``sample`` distinct texts, those with the smallest hash; the sample goes to the driver."""
-    rows = texts.filter(F.length(text) > 0).select(F.col(text).alias("t")).filter(F.length("t") <= 4000).distinct().orderBy(F.xxhash64("t"), "t").limit(sample).collect()
-    return ChainModel.train(training_data([r.t for r in rows]))
+def fit_sentence_model(texts: DataFrame, text: str, sample: int = 8000, longest: int = 4000, most: int = 1_000_000) -> ChainModel:
+    """A model fitted to at most ``sample`` distinct texts of at most ``longest`` characters and ``most`` characters in
+    all, those with the smallest hash; the sample goes to the driver. The other texts are split all the same, and whole.
+    Only about twice as many rows as are wanted are shuffled."""
+    rows = texts.filter(F.length(text).between(1, longest)).select(F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    distinct = rows.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, 2.0 * sample / max(distinct, 1))
+    few = rows.filter(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else rows
+    taken = [r.t for r in few.distinct().orderBy("h", "t").limit(sample).collect()]
+    room = accumulate(map(len, taken))
+    return ChainModel.train(training_data([t for t, upto in zip(taken, room, strict=True) if upto <= most]))
 
 
 def split_sentences(df: DataFrame, keys: list[str], text: str, model: ChainModel) -> DataFrame:

@@ -87,3 +87,23 @@ def test_viterbi_uses_transitions():
     m = ChainModel({"x": 1.0, "t11": -5.0, "y": 2.0})
     assert m.decode([["x"], ["y"]]) == [False, True] and m.decode([]) == []
     assert teach("a", []) == [] and S._spots("") == []
+
+
+def test_a_mark_elsewhere_does_not_hide_a_break(model):
+    text = "今日は晴れです明日は雨です。次です。"
+    assert [text[a:b] for a, b in sentence_spans(text, model)] == ["今日は晴れです", "明日は雨です。", "次です。"]
+
+
+@pytest.mark.parametrize("line", ["（" * 40_000 + "。" + "「x」" * 100, "「『" * 20_000 + "』」" * 20_000, "“a„b”c" * 10_000, "’" * 50_000])
+def test_brackets_are_matched_in_linear_time(line):
+    import time
+
+    began = time.perf_counter()
+    S._match_pairs(line)
+    assert time.perf_counter() - began < 2
+
+
+def test_pairs():
+    assert S._match_pairs("a「b（c」d）e") == {1: 5}
+    assert S._match_pairs("（「『」") == {1: 3} and S._match_pairs("„a” “b”") == {0: 2, 4: 6}
+    assert S._match_pairs("it’s ‘so’") == {5: 8}
