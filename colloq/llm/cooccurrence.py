@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloq.session import checkpoint
+
 
 @lru_cache(maxsize=200_000)
 def normal_term(term: str) -> str:
@@ -64,23 +66,36 @@ def _chunked_pairs(items: DataFrame, chunk: int) -> DataFrame:
     return pair.select("kind", pick(F.col("x.item"), F.col("y.item")).alias("a"), pick(F.col("y.item"), F.col("x.item")).alias("b"), pick(F.col("x.n"), F.col("y.n")).alias("n_a"), pick(F.col("y.n"), F.col("x.n")).alias("n_b"))
 
 
+def _marked(rows: DataFrame, few: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that have their key in ``few``, with its columns, and the others. ``few`` holds keys that each have at
+    least a thousandth of all rows, so there are a thousand at most, and it is sent to all tasks: hot keys are not
+    shuffled to one of them."""
+    both = rows.join(F.broadcast(few.withColumn("__hot", F.lit(True))), keys, "left")
+    return both.filter("__hot").drop("__hot"), both.filter("__hot IS NULL").select(*rows.columns)
+
+
 def associated_pairs(items: DataFrame, *, min_count: int = 5, min_lift: float = 8, chunk: int = 64) -> DataFrame:
     """Pairs of items that share a basket at least ``min_count`` times and ``min_lift`` times as often as chance.
 
     ``items``: distinct (kind, basket, item), as :func:`basket_items` gives them; each kind is counted by itself.
     Result: ``kind``, ``item_a`` < ``item_b`` (by code point), ``n_ab``, ``n_a``, ``n_b``, ``n`` (baskets of the kind),
     ``lift`` and ``npmi``. Empty input gives no rows; a basket with one item counts in ``n`` and in its item's count.
-    ``chunk``: the most items of a basket that are paired in one piece; it doesn't change the result.
+    With ``min_count`` 1 and ``min_lift`` 0 all pairs come out. ``chunk``: the most items of a basket that are paired in
+    one piece; it doesn't change the result.
     """
+    items = checkpoint(items)  # counted, pruned and paired: the terms are normalised once
+    few = max(1, items.count() // 1000)
     total = items.select("kind", "basket").distinct().groupBy("kind").agg(F.count("*").alias("total"))
-    totals = F.broadcast(total)  # a row for each kind of basket
-    counts = items.groupBy("kind", "item").agg(F.count("*").alias("n")).join(totals, "kind")
+    totals = F.broadcast(checkpoint(total))  # a row for each kind of basket
     lift = F.lit(str(min_lift)).cast("decimal(18,6)")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    kept = counts.filter((F.col("n") >= min_count) & (wide("n") * lift <= wide("total"))).select("kind", "item", "n")
-    rows = items.join(kept, ["kind", "item"])
+    counts = items.groupBy("kind", "item").agg(F.count("*").alias("n")).join(totals, "kind")
+    counts = checkpoint(counts.select("kind", "item", "n", ((F.col("n") >= min_count) & (wide("n") * lift <= wide("total"))).alias("kept")))
+    often, rest = _marked(items, counts.filter(F.col("n") >= few), ["kind", "item"])
+    rows = often.filter("kept").drop("kept").unionByName(rest.join(counts.filter(F.col("kept") & (F.col("n") < few)).drop("kept"), ["kind", "item"]))
     sizes = rows.groupBy("kind", "basket").agg(F.count("*").alias("size")).filter("size > 1")
-    huge = rows.join(sizes.filter(F.col("size") > chunk), ["kind", "basket"])
+    giant, rows = _marked(rows, sizes.filter(F.col("size") >= F.greatest(F.lit(few), F.lit(chunk + 1))), ["kind", "basket"])
+    huge = giant.unionByName(rows.join(sizes.filter(F.col("size") > chunk), ["kind", "basket"]).select(giant.columns))
     usual = rows.join(sizes.filter(F.col("size") <= chunk), ["kind", "basket"]).groupBy("kind", "basket").agg(F.collect_list(F.struct("item", "n")).alias("items"))
     pairs = _ordinary_pairs(usual).unionByName(_chunked_pairs(huge, chunk))
     found = pairs.groupBy("kind", "a", "b").agg(F.count("*").alias("n_ab"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).filter(F.col("n_ab") >= min_count)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import secrets
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,18 @@ def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return associated_pairs(_items(spark, sf_dir), min_count=5, min_lift=8)
 
 
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair, however rare, with its counts."""
+    return associated_pairs(_items(spark, sf_dir), min_count=1, min_lift=0).select("kind", "item_a", "item_b", "n_ab", "n_a", "n_b", "n")
+
+
+def p1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the same session: baskets of up to hundreds of items, most of them split into chunks."""
+    terms = table(spark, sf_dir, "utterance_terms")
+    found = associated_pairs(basket_items(terms, "session", ["session_id"], "word"), min_count=3, min_lift=2)
+    return found.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n")
+
+
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "words").filter(is_finite("start_s") & is_finite("end_s") & ~is_blank("text"))
     words = words.select("file_id", "word_ord", to_ms("start_s").alias("a"), to_ms(F.greatest("start_s", "end_s")).alias("b"))
@@ -164,9 +177,29 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_repaired(spark, sf_dir).select("doc_id").distinct()
 
 
+# NFKC of the forms that terms come in, in SQL: full-width ASCII, the ideographic space and half-width kana, whose sound
+# marks then join the kana before them.
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000" + "".join(chr(0xFF61 + i) for i in range(63))
+_PLAIN = "".join(chr(0x21 + i) for i in range(94)) + " " + "".join(unicodedata.normalize("NFKC", chr(0xFF61 + i)) for i in range(63))
+
+
+def _sql_term(column: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"lower({sql_trim(f'nfc_normalize(translate({column}, {quoted(_WIDE)}, {quoted(_PLAIN)}))')})"
+
+
+_ITEMS_SQL = f"""i0 AS (SELECT 'statement' AS kind, CAST(stmt_no AS VARCHAR) AS basket, unnest(terms) AS term FROM statements
+  UNION ALL SELECT 'utterance', session_id || chr(31) || CAST(utt_ord AS VARCHAR), word FROM utterance_terms),
+i AS (SELECT DISTINCT kind, basket, {_sql_term('term')} AS item FROM i0 WHERE term IS NOT NULL AND length({_sql_term('term')}) > 0)"""
+_PAIRS_SQL = """t AS (SELECT kind, count(DISTINCT basket) AS n FROM i GROUP BY kind), c AS (SELECT kind, item, count(*) AS k FROM i GROUP BY ALL),
+p AS (SELECT x.kind, x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM i x JOIN i y ON x.kind = y.kind AND x.basket = y.basket AND x.item < y.item GROUP BY ALL),
+s AS (SELECT p.kind, item_a, item_b, n_ab, a.k AS n_a, b.k AS n_b, n FROM p JOIN t USING (kind) JOIN c a ON a.kind = p.kind AND a.item = item_a JOIN c b ON b.kind = p.kind AND b.item = item_b)"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
+    "p1_counts": p1_counts,
+    "p1_sessions": p1_sessions,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
@@ -186,6 +219,12 @@ QUERIES = {
 }
 
 SQL = {
+    "p1_found": f"WITH {_ITEMS_SQL}, {_PAIRS_SQL} SELECT kind AS record_kind, item_a AS term_a, item_b AS term_b FROM s WHERE n_ab >= 5 AND n_ab * n >= 8 * n_a * n_b",
+    "p1_scores": f"""WITH {_ITEMS_SQL}, {_PAIRS_SQL}, l AS (SELECT *, CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b) AS lift FROM s WHERE n_ab >= 5 AND n_ab * n >= 8 * n_a * n_b)
+SELECT * REPLACE (round(lift, 6) AS lift), round(CASE WHEN n_ab < n THEN ln(lift) / -ln(CAST(n_ab AS DOUBLE) / n) ELSE 1.0 END, 6) AS npmi FROM l""",
+    "p1_counts": f"WITH {_ITEMS_SQL}, {_PAIRS_SQL} SELECT * FROM s",
+    "p1_sessions": f"""WITH i AS (SELECT DISTINCT 'session' AS kind, session_id AS basket, {_sql_term('word')} AS item FROM utterance_terms WHERE session_id IS NOT NULL AND length({_sql_term('word')}) > 0), {_PAIRS_SQL}
+SELECT item_a, item_b, n_ab, n_a, n_b, n FROM s WHERE n_ab >= 3 AND n_ab * n >= 2 * n_a * n_b""",
     "p3_found": f"""
 WITH t AS ({USABLE_TURNS_SQL}),
 w AS (SELECT DISTINCT file_id, word_ord, CAST(round(start_s * 1000) AS BIGINT) AS a, CAST(round(greatest(start_s, end_s) * 1000) AS BIGINT) AS b
