@@ -50,3 +50,10 @@ MARKER_RULES = (
     ("だけど", "contrasts", True, 0.45, "weak_contrast"),
 )
 RELATION_TYPES = ("supports", "causes", "elaborates", "contrasts")
+
+# The states that decision flows may name.
+FLOW_CONFIDENCE = ("high", "medium", "low")
+OPTION_STATUS = ("selected", "rejected", "abandoned", "unresolved", "partial")
+ARGUMENT_STANCE = ("pro", "con", "neutral")
+OUTCOME_STATUS = ("decided", "deferred", "open")
+OUTCOME_KIND = ("single_option", "hybrid", "no_option", "unknown")
