@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from colloq.functions.text import format_timestamp, is_finite, strip
 from colloq.operators.runs import mark_runs
+from colloq.session import checkpoint
 
 # Turns are put on a level by their length, each level with buckets as wide as its longest turn.
 LEVELS = [8.0 * 8**k for k in range(14)]
@@ -42,7 +43,7 @@ def clean_turns(turns: DataFrame, least_seconds: float = 0.0) -> DataFrame:
     return turns.filter(is_finite("start_s") & is_finite("end_s") & (F.col("end_s") - F.col("start_s") >= least_seconds))
 
 
-WORD = ["file_id", "word_ord", "text", "ws", "we"]
+WORD = ["file_id", "word_ord", "ws", "we"]
 
 
 def _rank(overlap: Column, gap: Column, ts: str, te: str, speaker: str) -> Column:
@@ -101,17 +102,20 @@ def assign_speakers(words: DataFrame, turns: DataFrame, *, least_seconds: float
     """
     w = clean_words(words.select("file_id", "word_ord", "text", "start_s", "end_s").filter("word_ord IS NOT NULL").distinct())
     t = clean_turns(turns, least_seconds).filter("speaker IS NOT NULL").select("file_id", F.col("start_s").alias("ts"), F.col("end_s").alias("te"), "speaker").distinct()
-    asked = w.withColumnsRenamed({"start_s": "ws", "end_s": "we"}).select(*WORD)
+    w, t = checkpoint(w.withColumnsRenamed({"start_s": "ws", "end_s": "we"})), checkpoint(t)  # each is looked at from several sides
+    asked = w.select(*WORD)
     far = F.lit(float("inf"))
-    none = asked.withColumns({"ts": far, "te": far, "speaker": F.lit(fallback)}).select(*WORD, _rank(-far, far, "ts", "te", "speaker").alias("r"))
-    best = _touching(asked, t).unionByName(_neighbours(asked, t)).unionByName(none).groupBy(*WORD).agg(F.min("r")["speaker"].alias("speaker"))
-    return best.withColumnsRenamed({"ws": "start_s", "we": "end_s"})
+    none = w.withColumns({"ts": far, "te": far, "speaker": F.lit(fallback)}).select(*WORD, _rank(-far, far, "ts", "te", "speaker").alias("r"), "text")
+    # The text goes along once; a word's other rows are times only.
+    every = _touching(asked, t).unionByName(_neighbours(asked, t)).unionByName(none, allowMissingColumns=True)
+    best = every.groupBy("file_id", "word_ord").agg(F.max("text").alias("text"), F.max("ws").alias("start_s"), F.max("we").alias("end_s"), F.min("r")["speaker"].alias("speaker"))
+    return best.select("file_id", "word_ord", "text", "start_s", "end_s", "speaker")
 
 
 def speaker_segments(assigned: DataFrame, *, bucket: float = 600.0) -> DataFrame:
     """Runs of one speaker's words, in order of (start, end, ordinal): ``file_id``, ``speaker``, ``start_s`` (of the
     first word), ``end_s`` (of the last word), ``words`` and ``text`` (joined without blanks)."""
-    rows = assigned.withColumn("bucket", F.floor(F.col("start_s") / F.lit(bucket)).cast("bigint"))
+    rows = checkpoint(assigned.withColumn("bucket", F.floor(F.col("start_s") / F.lit(bucket)).cast("bigint")))
     rows = mark_runs(rows, ["file_id"], "bucket", ["start_s", "end_s", "word_ord"], "speaker")
     at = F.struct("start_s", "end_s", "word_ord")
     runs = rows.groupBy("file_id", "run").agg(F.first("speaker").alias("speaker"), F.min("start_s").alias("start_s"), F.max(at).alias("last"), F.count("*").alias("words"), F.array_sort(F.collect_list(F.struct("start_s", "end_s", "word_ord", "text"))).alias("parts"))

@@ -128,26 +128,29 @@ def term_edges(statements: DataFrame, least: int = 2) -> DataFrame:
     return sets.select("session", pairs.alias("p")).groupBy("session", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``session``, ``term``, ``component``: the smallest term each term is connected to (itself, if to none).
 
     Rounds of taking the smallest label among the neighbours and then the label of one's label, which halves what is
-    left of a chain; each round is checkpointed, and only a count of changes comes to the driver.
+    left of a chain; each round is written once, and only a count of changes comes to the driver. Labels only ever get
+    smaller, so the rounds end.
     """
     both = edges.select("session", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select("session", F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
     both = checkpoint(both)
-    labels = checkpoint(nodes.select("session", F.col("term").alias("x"), F.col("term").alias("l")).distinct())
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("x", "y"), ["session", "y"]).groupBy("session", "x").agg(F.min("l").alias("near"))
-        step = labels.join(near, ["session", "x"], "left").withColumn("to", F.least("l", F.coalesce("near", "l")))
+    # The first round needs no join: a term's label is the smallest of itself and its neighbours.
+    first = nodes.select("session", F.col("term").alias("x"), F.col("term").alias("l")).unionByName(both.select("session", "x", F.col("y").alias("l")))
+    labels = checkpoint(first.groupBy("session", "x").agg(F.min("l").alias("l")))
+    linked = labels.join(both.select("session", "x").distinct(), ["session", "x"], "left_semi")  # the rest is settled
+    alone = labels.join(both.select("session", "x").distinct(), ["session", "x"], "left_anti")
+    while True:
+        near = both.join(linked.withColumnRenamed("x", "y"), ["session", "y"]).groupBy("session", "x").agg(F.min("l").alias("near"))
+        step = linked.join(near, ["session", "x"], "left").withColumn("to", F.least("l", F.coalesce("near", "l")))
         jump = step.select("session", F.col("x").alias("to"), F.col("to").alias("further"))
         step = step.join(jump, ["session", "to"], "left").select("session", "x", F.least("to", F.coalesce("further", "to")).alias("l"), (F.least("to", F.coalesce("further", "to")) < F.col("l")).alias("moved"))
         step = checkpoint(step)
-        moved = step.filter("moved").limit(1).count()
-        labels = step.drop("moved")
-        if not moved:
-            return labels.select("session", F.col("x").alias("term"), F.col("l").alias("component"))
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")
+        linked = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            return linked.unionByName(alone).select("session", F.col("x").alias("term"), F.col("l").alias("component"))
 
 
 def propagate_labels(nodes: list[str], edges: list[tuple[str, str, int]], passes: int = 10) -> dict[str, str]:
@@ -177,7 +180,8 @@ def propagate_labels(nodes: list[str], edges: list[tuple[str, str, int]], passes
 def term_clusters(weights: DataFrame, edges: DataFrame, *, largest: int = 12, passes: int = 10) -> DataFrame:
     """``session``, ``term``, ``cluster``, ``weight``: connected components, those of more than ``largest`` terms cut
     further by label propagation (one component per group); clusters of one term met once are dropped."""
-    parts = connected_components(weights.select("session", "term"), edges).join(weights, ["session", "term"])
+    weights, edges = checkpoint(weights), checkpoint(edges)
+    parts = checkpoint(connected_components(weights.select("session", "term"), edges).join(weights, ["session", "term"]))
     size = parts.groupBy("session", "component").agg(F.count("*").alias("size"))
     parts = parts.join(size, ["session", "component"])
     big = parts.filter(F.col("size") > largest).select("session", "component", "term")
@@ -193,7 +197,7 @@ def term_clusters(weights: DataFrame, edges: DataFrame, *, largest: int = 12, pa
     whole = parts.filter(F.col("size") <= largest).select("session", "term", F.col("component").alias("cluster"), "weight")
     every = whole.unionByName(refined.select("session", "term", "cluster", "weight"))
     lone = every.groupBy("session", "cluster").agg(F.count("*").alias("c"), F.max("weight").alias("m")).filter("c > 1 OR m >= 2")
-    return every.join(lone.select("session", "cluster"), ["session", "cluster"], "left_semi")
+    return checkpoint(every.join(lone.select("session", "cluster"), ["session", "cluster"], "left_semi"))
 
 
 def topics(clusters: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloq.session import checkpoint
+
 
 class IntervalMap:
     """Disjoint closed intervals in order, each with the number of intervals merged into it."""
@@ -124,6 +126,7 @@ def merge_intervals(
     schema = T.StructType([*(T.StructField(k, types[k]) for k in keys), *(T.StructField(c, T.LongType()) for c in ("bucket", "from_t", "to_t", "n"))])
     place = [*keys, "bucket"]
     merged = rows.mapInPandas(_merger(keys, held), schema).repartition(*place).sortWithinPartitions(*place, "from_t").mapInPandas(_sorted_merger(keys), schema)
+    merged = checkpoint(merged)  # what runs on, periods and gaps are all found in it
 
     by_bucket = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     ends = merged.groupBy(*place).agg(F.max("to_t").alias("__end")).withColumn("__carry", F.max("__end").over(by_bucket)).drop("__end")

@@ -24,12 +24,29 @@ def _offences(df: DataFrame, rule: str, key: Column) -> DataFrame:
     return df.select("session", F.lit(rule).alias("rule"), key.cast("string").alias("key"))
 
 
+def _flagged(key: Column, rules: dict[str, Column]) -> Column:
+    """An array of (rule, key) of the rules whose condition holds."""
+    return F.array_compact(F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"))) for rule, test in rules.items()]))
+
+
+def _tally(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """How often each key stands in each of the parts: the keys and a count by the name of each part."""
+    every = None
+    for name, df in parts.items():
+        rows = df.select(*keys, F.lit(name).alias("__part"))
+        every = rows if every is None else every.unionByName(rows)
+    return every.groupBy(*keys).agg(*[F.sum((F.col("__part") == name).cast("long")).alias(name) for name in parts])
+
+
 def overlay_violations(base_nodes: DataFrame, base_edges: DataFrame, nodes: DataFrame, edges: DataFrame, hidden_nodes: DataFrame, hidden_edges: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """``session``, ``rule``, ``key`` of every offence of an overlay against its base graph.
 
     Nodes have ``session``, ``id``; edges ``session``, ``a``, ``b`` and are undirected. A node must have a valid id
     that is new; an edge must join two different visible nodes and be new; what is hidden must be in the base, and a
     hidden edge's ends must not be hidden themselves; nothing may be listed twice or beyond ``limits``.
+
+    Base, added and hidden rows are counted by key in one pass for the nodes and one for the edges; the rules are
+    conditions on those counts, and only the ends of added and hidden edges are joined.
     """
     limits = LIMITS | (limits or {})
 
@@ -37,31 +54,26 @@ def overlay_violations(base_nodes: DataFrame, base_edges: DataFrame, nodes: Data
         a, b = edge_key(F.col("a"), F.col("b"))
         return df.select("session", a.alias("a"), b.alias("b"))
 
-    pair = F.concat_ws("|", "a", "b")
-    base_edges, new_edges, gone_edges = keyed(base_edges).distinct(), keyed(edges), keyed(hidden_edges)
-    shown = visible_ids(base_nodes, hidden_nodes, nodes)
-    found = []
-    for name, df in (("node", nodes), ("hidden node", hidden_nodes)):
-        found.append(_offences(df.filter(~is_valid_id("id")), f"invalid {name} id", F.col("id")))
-        found.append(_offences(df.groupBy("session", "id").count().filter("count > 1"), f"duplicate {name}", F.col("id")))
-    for name, df in (("edge", new_edges), ("hidden edge", gone_edges)):
-        found.append(_offences(df.filter("a = b"), f"{name} to itself", pair))
-        found.append(_offences(df.groupBy("session", "a", "b").count().filter("count > 1"), f"duplicate {name}", pair))
-    for name, df, most in (("nodes", nodes, limits["nodes"]), ("edges", edges, limits["edges"]), ("hidden nodes", hidden_nodes, limits["hidden"]), ("hidden edges", hidden_edges, limits["hidden"])):
-        found.append(_offences(df.groupBy("session").count().filter(F.col("count") > most), f"too many {name}", F.col("count")))
-    ids = ["session", "id"]
-    found.append(_offences(nodes.join(base_nodes.select(*ids), ids, "left_semi").distinct(), "node is in the base", F.col("id")))
-    found.append(_offences(hidden_nodes.join(base_nodes.select(*ids), ids, "left_anti").distinct(), "hidden node is unknown", F.col("id")))
-    ends = new_edges.select("session", "a", "b", F.explode(F.array("a", "b")).alias("id")).join(shown, ids, "left_anti")
-    found.append(_offences(ends.select("session", "a", "b").distinct(), "edge end is not visible", pair))
-    found.append(_offences(new_edges.join(base_edges, ["session", "a", "b"], "left_semi").distinct(), "edge is in the base", pair))
-    found.append(_offences(gone_edges.join(base_edges, ["session", "a", "b"], "left_anti").distinct(), "hidden edge is unknown", pair))
-    over = gone_edges.select("session", "a", "b", F.explode(F.array("a", "b")).alias("id")).join(hidden_nodes.select(*ids), ids, "left_semi")
-    found.append(_offences(over.select("session", "a", "b").distinct(), "hidden edge has a hidden end", pair))
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out.distinct()
+    of_nodes = _tally({"base": base_nodes, "added": nodes, "hidden": hidden_nodes}, ["session", "id"])
+    of_edges = _tally({"base": keyed(base_edges), "added": keyed(edges), "hidden": keyed(hidden_edges)}, ["session", "a", "b"])
+    base, added, hidden = F.col("base") > 0, F.col("added") > 0, F.col("hidden") > 0
+    bad = ~is_valid_id("id")
+    node_rules = _flagged(F.col("id"), {"invalid node id": added & bad, "invalid hidden node id": hidden & bad, "duplicate node": F.col("added") > 1, "duplicate hidden node": F.col("hidden") > 1, "node is in the base": added & base, "hidden node is unknown": hidden & ~base})
+    found = of_nodes.select("session", F.explode(node_rules).alias("v"))
+    loop = F.col("a") == F.col("b")
+    ends = of_edges.filter(added | hidden).select("session", "a", "b", F.col("added").alias("n"), F.col("hidden").alias("h"), F.explode(F.array("a", "b")).alias("id"))
+    ends = ends.join(of_nodes, ["session", "id"], "left").groupBy("session", "a", "b").agg(F.max(~F.coalesce((base & ~hidden) | added, F.lit(False))).alias("__unseen"), F.max(F.coalesce(hidden, F.lit(False))).alias("__covered"))
+    edge_rules = _flagged(
+        F.concat_ws("|", "a", "b"),
+        {"edge to itself": added & loop, "hidden edge to itself": hidden & loop, "duplicate edge": F.col("added") > 1, "duplicate hidden edge": F.col("hidden") > 1}
+        | {"edge is in the base": added & base, "hidden edge is unknown": hidden & ~base, "edge end is not visible": added & F.col("__unseen"), "hidden edge has a hidden end": hidden & F.col("__covered")},
+    )
+    found = found.unionByName(of_edges.filter(added | hidden).join(ends, ["session", "a", "b"]).select("session", F.explode(edge_rules).alias("v")))
+    for what, df, most in (("nodes", of_nodes, limits["nodes"]), ("edges", of_edges, limits["edges"])):
+        sums = df.groupBy("session").agg(F.sum("added").alias("n"), F.sum("hidden").alias("h"))
+        many = F.concat(_flagged(F.col("n"), {f"too many {what}": F.col("n") > most}), _flagged(F.col("h"), {f"too many hidden {what}": F.col("h") > limits["hidden"]}))
+        found = found.unionByName(sums.select("session", F.explode(many).alias("v")))
+    return found.select("session", "v.rule", "v.key")
 
 
 def position_violations(positions: DataFrame, visible: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloq.functions import lexicons
 from colloq.operators import discourse, keywords, overlay
 from colloq.plans.sql import sql_list, sql_trim
-from colloq.session import table
+from colloq.session import checkpoint, table
 
 
 def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def topic_of_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """An overlay over each session's term graph, with offences of most kinds in it."""
-    w, e = term_weights(spark, sf_dir), term_edges(spark, sf_dir, )
+    w, e = checkpoint(term_weights(spark, sf_dir)), checkpoint(term_edges(spark, sf_dir))
     base = w.filter("weight >= 2").select("session", F.col("term").alias("id"))
     base_edges = e.select("session", "a", "b")
     nodes = w.filter("weight = 1 OR weight = 4").select("session", F.col("term").alias("id"))
