@@ -71,8 +71,77 @@ def test_upsert(spark, tmp_path):
         batch = spark.createDataFrame(rows, "k string, v long, s string")
         apply(batch, n)
         apply(batch, n)
-    got = spark.read.parquet(str(tmp_path / "t/generation=1")).collect()
+    got = stateful.upserted(spark, str(tmp_path / "t"), ["k"], "v").collect()
     assert {(r.k, r.v, r.s) for r in got} == {("a", 2, "z"), ("b", 1, "y")}
+    often = stateful.upsert(str(tmp_path / "u"), ["k"], "v", compact_every=2)
+    for n in range(7):
+        often(spark.createDataFrame([("a", n, "x"), (f"k{n % 2}", n, "y")], "k string, v long, s string"), n)
+    assert {(r.k, r.v) for r in stateful.upserted(spark, str(tmp_path / "u"), ["k"], "v").collect()} == {("a", 6), ("k0", 6), ("k1", 5)}
+    assert sorted(p.name for p in (tmp_path / "u").iterdir()) == ["part=5", "part=6", "whole=4", "whole=6"]
+
+
+def test_intervals_with_a_horizon(spark, tmp_path):
+    schema = "id long, e string, s long, t long"
+    batches = [[(1, "a", 0, 5), (2, "a", 10, 20)], [(3, "a", 100, 110), (2, "a", 10, 20)], [(4, "a", 11, 12), (5, "a", 105, 130), (3, "a", 100, 110)]]
+    out = run(spark, tmp_path, batches, schema, lambda df: stateful.interval_stream(df, ["e"], "s", "t", "id", horizon=50), "update")
+    shown = [{tuple(x.values())[1:] for x in b} for b in out]
+    assert shown[0] == {("period", 0, 5, 1), ("period", 10, 20, 1), ("gap", 5, 10, 0)}
+    assert shown[2] == {("period", 10, 20, 1), ("period", 100, 130, 2), ("gap", 20, 100, 0)}
+
+
+def test_an_utterance_over_two_triggers_is_one(spark, tmp_path):
+    schema = "session string, utt int, ord int, word string, score double"
+    rows = [("s", 0, 0, "a", 1.0), ("s", 0, 1, "b", 1.0), ("s", 0, 2, "c", 1.0), ("s", 1, 0, "a", 1.0)]
+    out = run(spark, tmp_path, [rows[:2], rows[2:], rows[:1]], schema, lambda df: stateful.graph_stream(df), "update")
+    assert [b[0]["seq"] for b in out] == [1, 2, 2]
+    assert {(e["a"], e["b"], e["weight"]) for e in out[1][0]["edges"]} == {("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0)}
+
+
+def test_segmenter_is_flushed(spark, tmp_path):
+    import time
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    out = []
+    schema = "session string, frame_no long, probability double"
+    stream = spark.readStream.schema(schema).parquet(str(folder))
+    q = stateful.segmenter_stream(stream, segmenter.SegmenterOptions(0.5, 96, 64, 9.0, 64), flush_after_ms=200).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(lambda df, n: out.extend((r.kind, r.utterance_id) for r in df.collect())).start()
+    try:
+        spark.createDataFrame([("s", i, 1.0) for i in range(1, 9)], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        end = time.time() + 30
+        while ("end", 1) not in out and time.time() < end:
+            time.sleep(0.3)
+    finally:
+        q.stop()
+    assert out == [("start", 1), ("update", 1), ("end", 1)]
+
+
+def test_transcript_stream(spark, tmp_path):
+    def engine(mode, utterance, start, end):
+        if end == 666:
+            raise RuntimeError("bad")
+        return f"{mode}{utterance}:{start}-{end}"
+
+    schema = "session string, seq long, kind string, utterance_id int, samples long, t0 double, t1 double, at double"
+    batches = [
+        [("s", 1, "start", 1, 80, 0.0, None, 0.0), ("s", 2, "update", 1, 90, 0.0, None, 0.5), ("t", 1, "start", 1, 10, 0.0, None, 0.0)],
+        [("s", 3, "update", 1, 150, 0.0, None, 1.0), ("s", 4, "end", 1, 200, 0.0, 2.0, 2.0), ("s", 5, "update", 1, 210, 0.0, None, 9.0)],
+        [("s", 6, "end", 2, 666, 3.0, 4.0, 9.0), ("s", 7, "cancel", 3, 5, 5.0, 6.0, 9.0), ("t", 2, "stop", None, None, None, None, None), ("t", 3, "end", 1, 20, 0.0, 1.0, 9.0)],
+        [("t", 4, "end", 1, 20, 0.0, 1.0, 9.0)],
+    ]
+    out = run(spark, tmp_path, batches, schema, lambda df: stateful.transcript_stream(df, engine, window=100), "append")
+    got = [sorted((m["session"], m["seq"], m["type"], m["text"]) for m in b) for b in out]
+    assert got == [
+        [("s", 1, "partial", "partial1:0-80"), ("t", 1, "partial", "partial1:0-10")],
+        [("s", 3, "partial", "partial1:0-80partial1:80-150"), ("s", 4, "final", "final1:0-200")],
+        [("s", 6, "error", "bad"), ("s", 7, "final", ""), ("t", 2, "stop", None)],
+        [],
+    ]
+
+
+def test_ranked_keywords(spark):
+    counts = spark.createDataFrame([("s", "b", 2), ("s", "a", 2), ("s", "ccc", 1), ("t", "x", 1)], "session string, word string, n long")
+    assert [(r.session, r.word, r["rank"]) for r in stateful.ranked_keywords(counts, ["session"], 2).orderBy("session", "rank").collect()] == [("s", "a", 1), ("s", "b", 2), ("t", "x", 1)]
 
 
 def test_disconnect(spark, tmp_path):
