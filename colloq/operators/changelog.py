@@ -31,6 +31,52 @@ def changes_after(df: DataFrame, version: str, seen: int) -> DataFrame:
     return df.filter(F.col(version) > seen)
 
 
+def pending(df: DataFrame, version: str, event: str, seen: int, most: int = 100) -> DataFrame:
+    """What a reader with version ``seen`` is sent: the changes since, or, if they are more than ``most``, a single row
+    with the event 'reset', the latest version and nothing else, upon which it takes a new snapshot."""
+    rows = changes_after(df, version, seen)
+    few, last = rows.agg(F.count("*") <= most, F.max(version)).first()
+    if few:
+        return rows
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.sparkSession.range(1).select(*[(F.lit(last) if c == version else F.lit("reset") if c == event else F.lit(None)).cast(kinds[c]).alias(c) for c in df.columns])
+
+
+def replay(status: DataFrame, finals: DataFrame, keywords: DataFrame, graphs: DataFrame, most: int = 100) -> DataFrame:
+    """What a reader that comes back is sent: ``session``, ``part``, ``n``, ``message`` (a JSON text), to be taken in
+    order of ``part`` and ``n``. First the session's status, then its last ``most`` final messages in order, then its
+    keywords and, if it shows any node, its graph.
+
+    ``status``: ``session``, ``state``; ``finals``: ``session``, ``seq``, ``utterance_id``, ``text``, ``t0``, ``t1``;
+    ``keywords``: ``session``, ``word``, ``score``, ``rank``; ``graphs``: ``session``, ``seq``, ``nodes``, ``edges``.
+    """
+    say = lambda df, part, n, kind, *fields: df.select("session", F.lit(part).alias("part"), n.cast("bigint").alias("n"), F.to_json(F.struct(F.lit(kind).alias("type"), *fields)).alias("message"))
+    last = last_rows(finals, ["session"], ["seq"], most)
+    best = keywords.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word", "score"))), lambda x: F.struct(x["word"].alias("word"), x["score"].alias("score"))).alias("keywords"))
+    parts = [
+        say(status, 0, F.lit(0), "status", "state"),
+        say(last, 1, F.col("seq"), "final", "utterance_id", "text", "t0", "t1"),
+        say(best, 2, F.lit(0), "keywords", "keywords"),
+        say(graphs.filter(F.size("nodes") > 0), 3, F.lit(0), "graph", "seq", "nodes", "edges"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def session_ids(starts: DataFrame, started: str, taken: DataFrame) -> DataFrame:
+    """``session_id`` of each start: the minute (``20240131_0905``), and for others of the same minute, or if ``taken``
+    (``session_id``) has it, with the next number (``_2``, ``_3``, ...) that is free. ``ord``: a whole number, unique."""
+    minute = starts.withColumn("__minute", F.date_format(started, "yyyyMMdd_HHmm"))
+    held = taken.select(F.regexp_extract("session_id", r"^(\d{8}_\d{4})(?:_([1-9]\d*))?$", 1).alias("__minute"), F.regexp_extract("session_id", r"^(\d{8}_\d{4})(?:_([1-9]\d*))?$", 2).alias("__k")).filter("__minute <> ''")
+    held = held.select("__minute", F.coalesce(F.expr("try_cast(__k AS BIGINT)"), F.lit(1)).alias("__k"))
+    rows = running_total(minute.withColumn("__one", F.lit(1)), ["__minute"], "ord", "__one", "__nth").withColumn("__nth", F.col("__nth") + 1)
+    found = nth_free(rows, held, ["__minute"], "__nth", "__k", "__free")
+    name = F.when(F.col("__free") == 1, F.col("__minute")).otherwise(F.concat_ws("_", "__minute", F.col("__free").cast("string")))
+    return found.withColumn("session_id", name).select(*starts.columns, "session_id")
+
+
 def running_count(df: DataFrame, keys: list[str], order: str, name: str = "completed") -> DataFrame:
     """Each row with how many rows of its key there are up to it by ``order`` (a whole number, unique in the key)."""
     rows = running_total(df.withColumn("__one", F.lit(1)), keys, order, "__one", "__before", width=10_000)

@@ -85,6 +85,67 @@ def position_violations(positions: DataFrame, visible: DataFrame) -> DataFrame:
     return out.unionByName(_offences(positions.filter(~inside), "position outside", F.col("id"))).distinct()
 
 
+def normal_graph_overlay(overlays: DataFrame, base_nodes: DataFrame, base_edges: DataFrame, nodes: DataFrame, edges: DataFrame, hidden_nodes: DataFrame, hidden_edges: DataFrame, positions: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Overlays without an offence in their normal form: ``session``, ``revision``, ``nodes``, ``edges`` (ends in order),
+    ``hidden_node_ids``, ``hidden_edges``, ``positions``; ids trimmed, and all lists but the nodes sorted.
+
+    ``overlays`` (``session``, ``revision``) names the overlays there are, so that an empty one comes out too; a negative
+    or missing revision is an offence. ``nodes`` may have ``ord``, by which they are kept in order.
+    """
+    trim = lambda df, *names: df.withColumns({c: strip(c) for c in names})
+    base_nodes, nodes, hidden_nodes, positions = (trim(df, "id") for df in (base_nodes, nodes, hidden_nodes, positions))
+    base_edges, edges, hidden_edges = (trim(df, "a", "b") for df in (base_edges, edges, hidden_edges))
+    broken = overlay_violations(base_nodes, base_edges, nodes, edges, hidden_nodes, hidden_edges, limits).select("session")
+    broken = broken.unionByName(position_violations(positions, visible_ids(base_nodes, hidden_nodes, nodes)).select("session")).distinct()
+    good = overlays.filter("revision >= 0").select("session", "revision").join(broken, "session", "left_anti")
+    a, b = edge_key(F.col("a"), F.col("b"))
+    order = F.col("ord") if "ord" in nodes.columns else F.col("id")
+    lists = {
+        "nodes": (nodes, F.struct(order.alias("o"), F.struct("id").alias("v")), "array<struct<id: string>>"),
+        "edges": (edges, F.struct(F.lit(0).alias("o"), F.struct(a.alias("a"), b.alias("b")).alias("v")), "array<struct<a: string, b: string>>"),
+        "hidden_node_ids": (hidden_nodes, F.struct(F.lit(0).alias("o"), F.col("id").alias("v")), "array<string>"),
+        "hidden_edges": (hidden_edges, F.struct(F.lit(0).alias("o"), F.struct(a.alias("a"), b.alias("b")).alias("v")), "array<struct<a: string, b: string>>"),
+        "positions": (positions, F.struct(F.lit(0).alias("o"), F.struct("id", "x", "y").alias("v")), "array<struct<id: string, x: double, y: double>>"),
+    }
+    return _listed(good, lists)
+
+
+def _listed(good: DataFrame, lists: dict[str, tuple[DataFrame, Column, str]]) -> DataFrame:
+    """``good`` with the rows of each table as a sorted array; the limits of an overlay bound their lengths."""
+    for name, (df, entry, kind) in lists.items():
+        held = df.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["v"]).alias(name))
+        good = good.join(held, "session", "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {kind})")))
+    return good
+
+
+def normal_structure_overlay(overlays: DataFrame, base_statements: DataFrame, base_relations: DataFrame, topics: DataFrame, statements: DataFrame, relations: DataFrame, hidden_statements: DataFrame, hidden_relations: DataFrame, positions: DataFrame, types: tuple[str, ...], limits: dict[str, int] | None = None) -> DataFrame:
+    """As :func:`normal_graph_overlay`, over a directed, typed structure: ``session``, ``revision``, ``statements``,
+    ``relations``, ``hidden_statement_ids``, ``hidden_relation_ids``, ``positions``, each sorted by id. A statement's
+    ``topic_id`` must be null or one of ``topics`` (``session``, ``id``)."""
+    broken = structure_violations(base_statements, base_relations, statements, relations, hidden_statements, hidden_relations, types, limits).select("session")
+    shown = visible_ids(base_statements, hidden_statements, statements)
+    strange = statements.filter("topic_id IS NOT NULL").join(topics.select("session", F.col("id").alias("topic_id")), ["session", "topic_id"], "left_anti").select("session")
+    broken = broken.unionByName(position_violations(positions, shown).select("session")).unionByName(strange).distinct()
+    good = overlays.filter("revision >= 0").select("session", "revision").join(broken, "session", "left_anti")
+    by_id = lambda *rest: F.struct(F.col("id").alias("o"), F.struct("id", *rest).alias("v"))
+    one = F.struct(F.col("id").alias("o"), F.col("id").alias("v"))
+    return _listed(
+        good,
+        {
+            "statements": (statements, by_id(strip("text").alias("text"), "topic_id"), "array<struct<id: string, text: string, topic_id: string>>"),
+            "relations": (relations, by_id("source", "target", "type"), "array<struct<id: string, source: string, target: string, type: string>>"),
+            "hidden_statement_ids": (hidden_statements, one, "array<string>"),
+            "hidden_relation_ids": (hidden_relations, one, "array<string>"),
+            "positions": (positions, by_id("x", "y"), "array<struct<id: string, x: double, y: double>>"),
+        },
+    )
+
+
+# Overlays that change nothing, as documents without edits have them.
+EMPTY_GRAPH_EDITS = {"revision": 0, "nodes": [], "edges": [], "hidden_node_ids": [], "hidden_edges": [], "positions": []}
+EMPTY_STRUCTURE_EDITS = {"revision": 0, "statements": [], "relations": [], "hidden_statement_ids": [], "hidden_relation_ids": [], "positions": []}
+
+
 def next_revision(stored: int, expected: int) -> int:
     """The revision of an accepted edit; an edit made on another one than is stored is refused."""
     if stored != expected:

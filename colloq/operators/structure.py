@@ -51,16 +51,58 @@ def parse_answers(answers: DataFrame, value: str = "answer") -> Extraction:
     return Extraction(st, rel, topics)
 
 
+_UTTERANCE = "struct<speaker: string, start: string, end: string, text: string>"
+
+
+def coerce_utterances(df: DataFrame, payload: str) -> DataFrame:
+    """Utterances of JSON arrays whose entries are texts or objects: ``session``, ``utterance_index`` (the place in the
+    array), ``speaker``, ``start_s``, ``end_s``, ``text``. What an object lacks is empty or 0; texts that are no array
+    give no utterance."""
+    rows = df.select("session", F.posexplode(F.from_json(payload, "array<string>")).alias("utterance_index", "raw"))
+    rows = rows.withColumn("o", F.when(F.col("raw").startswith("{"), F.from_json("raw", _UTTERANCE)))
+    given = F.col("o").isNotNull()
+    number = lambda c: F.coalesce(F.expr(f"try_cast(o.{c} AS DOUBLE)"), F.lit(0.0)).alias(f"{c}_s")
+    text = F.when(given, F.coalesce("o.text", F.lit(""))).otherwise(F.coalesce("raw", F.lit("")))
+    return rows.select("session", "utterance_index", F.coalesce("o.speaker", F.lit("")).alias("speaker"), number("start"), number("end"), text.alias("text"))
+
+
+def structure_json(found: Extraction, flows: DataFrame | None = None, extractor: str = "markers") -> DataFrame:
+    """``session`` and ``value``: the structure of each session as one JSON text, with ``kind``, ``statements``,
+    ``relations`` (what speaks for them as ``evidence``), ``topics``, ``decision_flows`` and ``extractors``."""
+    listed = lambda df, order, *fields: df.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*fields).alias("v")))), lambda x: x["v"]).alias("v"))
+    plain = ("id", "source", "target", "type", "confidence")
+
+    def evident(x: Column) -> Column:
+        evidence = F.map_filter(F.create_map(F.lit("marker"), x["marker"], F.lit("rule"), x["rule"]), lambda k, v: v.isNotNull())
+        return F.struct(*[x[c].alias(c) for c in plain], evidence.alias("evidence"))
+
+    text = F.coalesce("topic_id", F.lit("")).alias("topic_id")
+    st = listed(found.statements, "stmt_pos", "id", "utterance_index", "speaker", "text", "terms", text).withColumnRenamed("v", "statements")
+    rel = listed(found.relations, "rel_pos", *plain, "marker", "rule").select("session", F.transform("v", evident).alias("relations"))
+    top = listed(found.topics, "topic_ord", "id", "label", F.lit("").alias("summary"), "statement_ids").withColumnRenamed("v", "topics")
+    rows = st.join(rel, "session", "left").join(top, "session", "left")
+    of = lambda df, c: F.coalesce(c, F.expr(f"cast(array() as {df.schema[c].dataType.simpleString()})")).alias(c)
+    body = F.to_json(F.struct(F.lit("logical_structure").alias("kind"), "statements", of(rel, "relations"), of(top, "topics"), F.array(F.lit(extractor)).alias("extractors")))
+    if flows is None:
+        decided = F.lit("[]")
+    else:
+        from colloq.operators.flows import flows_json
+
+        rows, decided = rows.join(flows_json(flows), "session", "left"), F.coalesce("decision_flows", F.lit("[]"))
+    return rows.select("session", F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"decision_flows":'), decided, F.lit("}")).alias("value"))
+
+
 def prompt_line() -> Column:
     """``{index} [{speaker}] {text}`` of an utterance, as an extractor is given it."""
     return F.format_string("%d [%s] %s", F.col("utterance_index"), F.coalesce("speaker", F.lit("")), F.coalesce("text", F.lit("")))
 
 
-def build_structure(utterances: DataFrame, extractor: Callable[[DataFrame], Extraction] | None = None, *, largest: int = 12) -> Extraction:
+def build_structure(utterances: DataFrame, extractor: Callable[[DataFrame], Extraction] | None = None, *, largest: int = 12, term_extractor: Callable[[DataFrame, list[str], str, int], DataFrame] = keywords.terms) -> Extraction:
     """The structure of each session of ``utterances`` (``session``, ``utterance_index``, ``speaker``, ``text``).
 
     Sessions the extractor gives no statement for fall back to :func:`by_markers`. Then: unknown references go, sessions
-    without topics get theirs by clustering terms, cycles are broken and relations get ids.
+    without topics get theirs by clustering terms, cycles are broken and relations get ids. ``term_extractor`` gives the
+    terms of texts, as :func:`colloq.operators.keywords.terms` does: the keys, ``word`` and ``rank``.
     """
     base = by_markers(utterances)
     if extractor is not None:
@@ -71,7 +113,7 @@ def build_structure(utterances: DataFrame, extractor: Callable[[DataFrame], Extr
     st = discourse.valid_statements(base.statements, utterances, "session", "utterance_index")
     rel = discourse.valid_relations(base.relations, st)
     listed = base.topics.join(discourse.valid_topics(base.topics, st).select("session", "id"), ["session", "id"], "left_semi")
-    found = keywords.terms(st.filter(F.size("terms") == 0), ["session", "id"], "text", 6)
+    found = term_extractor(st.filter(F.size("terms") == 0), ["session", "id"], "text", 6)
     bare = st.join(listed.select("session").distinct(), "session", "left_anti")
     termed = discourse.statement_terms(bare, found)
     clusters = discourse.term_clusters(discourse.term_weights(termed), discourse.term_edges(termed), largest=largest)

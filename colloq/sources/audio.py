@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -60,8 +63,29 @@ def resample(samples: np.ndarray, rate: int, position: float = 0.0, previous: fl
     return out.astype(np.float32), float(following), float(samples[-1]) if len(samples) else previous
 
 
-def quantize(samples: np.ndarray) -> bytes:
-    return (np.clip(samples, -1.0, 1.0) * 32767).astype("<i2").tobytes()
+def quantize(samples: np.ndarray, *, full_negative: bool = False) -> bytes:
+    """16-bit little-endian bytes of samples cut to -1..1. With ``full_negative``, as browsers do, -1 is -32768, else
+    -32767."""
+    clipped = np.clip(samples, -1.0, 1.0)
+    return np.trunc(clipped * np.where(full_negative & (clipped < 0), 32768, 32767)).astype("<i2").tobytes()
+
+
+class Downsampler:
+    """The browser's way from chunks of channels to 16 kHz bytes: no sample before the first, each output between two
+    inputs, what is left over kept for the next chunk, full negative scale."""
+
+    def __init__(self, rate: int, to: int = SAMPLE_RATE) -> None:
+        self.step, self.at, self.rest = rate / to, 0.0, np.empty(0, np.float64)
+
+    def feed(self, interleaved: np.ndarray, channels: int = 1) -> bytes:
+        line = np.concatenate([self.rest, downmix(np.asarray(interleaved, np.float64), channels)])
+        many = max(0, int(np.ceil((len(line) - 1 - self.at) / self.step)))
+        where = self.at + self.step * np.arange(many)
+        after = self.at + self.step * many
+        used = min(int(after), len(line))
+        out = np.interp(where, np.arange(len(line)), line) if many else np.empty(0)
+        self.rest, self.at = line[used:], after - used
+        return quantize(out, full_negative=True)
 
 
 def downmix(interleaved: np.ndarray, channels: int) -> np.ndarray:
@@ -74,28 +98,31 @@ def wav_layout(data: bytes) -> tuple[int, int, int, int, int, float] | None:
     samples, bytes of whole frames there are, seconds). Null for anything else. At most 64 chunks are looked at."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return None
-    at, form = 12, None
-    for _ in range(64):
-        if at + 8 > len(data):
-            return None
-        name, size = struct.unpack_from("<4sI", data, at)
-        body = at + 8
-        if name == b"fmt ":
-            if body + 16 > len(data):
-                return None
-            _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, body)
-            form = channels, rate, bits // 8
-        elif name == b"data":
+    form = None
+    for name, body, size in islice(_chunks(data), 64):
+        if name == b"data":
             if form is None or not all(form):
                 return None
             channels, rate, width = form
-            there = len(data) - body
-            there -= there % (channels * width)
+            there = (len(data) - body) // (channels * width) * (channels * width)
             return channels, rate, width, body, there, there / (rate * channels * width)
-        at = body + size + size % 2
+        if name == b"fmt ":
+            if body + 16 > len(data):
+                return None
+            channels, rate, bits = (*struct.unpack_from("<HI", data, body + 2), *struct.unpack_from("<H", data, body + 14))
+            form = channels, rate, bits // 8
     return None
 
 
+def _chunks(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(name, where its body begins, size as stated) of the chunks after the header; bodies are padded to even sizes."""
+    at = 12
+    while at + 8 <= len(data):
+        name, size = struct.unpack_from("<4sI", data, at)
+        yield name, at + 8, size
+        at += 8 + size + size % 2
+
+
 def recoverable_recordings(spark: SparkSession, folder: str, least_seconds: float = 1.0) -> DataFrame:
     """Unfinished recordings (``*.wav.part``) under ``folder`` that hold at least ``least_seconds``: ``path`` and the layout."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav.part").load(folder)
@@ -120,3 +147,33 @@ def repaired(data: bytes) -> bytes | None:
 def sample_count(data: Column) -> Column:
     """How many 16-bit samples bytes hold."""
     return F.floor(F.octet_length(data) / 2)
+
+
+def elapsed_seconds(samples: Column, rate: int = SAMPLE_RATE) -> Column:
+    """How long so many samples last, to a tenth of a second."""
+    return F.bround(samples / F.lit(float(rate)), 1)
+
+
+def recover_recordings(spark: SparkSession, folder: str, target: str, *, least_seconds: float = 1.0, prefix: str = "recovered_") -> list[str]:
+    """Repairs unfinished recordings (``*.wav.part``) of ``folder`` and moves them to ``target`` under a name of their
+    own, then moves finished ones that were left behind (``live_*.wav``); those too short or of no form are removed or,
+    if finished, left. Returns the new paths. The layouts are found by Spark; the moves, a file each, are the driver's."""
+    Path(target).mkdir(parents=True, exist_ok=True)
+    worth = {Path(r.path.removeprefix("file:")).name for r in recoverable_recordings(spark, folder, least_seconds).select("path").collect()}
+    moved = []
+    for part in sorted(Path(folder).glob("*.wav.part")):
+        if part.name not in worth:
+            part.unlink()
+            continue
+        part.write_bytes(repaired(part.read_bytes()))
+        moved.append(_moved(part, Path(target), prefix + part.name.removesuffix(".part")))
+    moved += [_moved(whole, Path(target), prefix + whole.name) for whole in sorted(Path(folder).glob("live_*.wav"))]
+    return moved
+
+
+def _moved(path: Path, folder: Path, name: str) -> str:
+    stem, suffix = name.rsplit(".", 1)
+    n, free = 2, name
+    while (folder / free).exists():
+        n, free = n + 1, f"{stem}_{n}.{suffix}"
+    return str(shutil.move(path, folder / free))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,9 +82,10 @@ def tagged_lines(lines: DataFrame, prefix: str, schema: str, value: str = "value
 
 def watch_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("mp3", "wav", "m4a"), *, done: str | None = None, files_per_trigger: int = 100) -> DataFrame:
     """A stream of the files that arrive in ``folder``: ``path``, ``stem``, ``length``, ``content``. With ``done``,
-    processed files are moved there by the source (one trigger late). Start it with a 30-second trigger, and only while
-    nothing live runs."""
-    names = "*.{" + ",".join(sorted({e for x in extensions for e in (x.lower(), x.upper())})) + "}"
+    processed files are moved there by the source (one trigger late). Extensions count in any case. Start it with a
+    30-second trigger and :func:`process_files`."""
+    either = lambda x: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x)
+    names = "*.{" + ",".join(sorted({either(x) for x in extensions})) + "}"
     reader = spark.readStream.format("binaryFile").option("pathGlobFilter", names).option("maxFilesPerTrigger", files_per_trigger)
     if done:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", done)
@@ -88,6 +93,81 @@ def watch_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     return files.select("path", path_stem(F.col("path")).alias("stem"), "length", "content")
 
 
+def process_files(process: Callable[[dict], str], *, paused: Callable[[], bool] = lambda: False, on_discover: Callable[[list[str]], None] = lambda stems: None, done: Callable[[DataFrame], None] = lambda outcome: None, wait_s: float = 1.0) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for :func:`watch_folder`: all files of a trigger are announced, then, while ``paused``
+    says so, nothing is begun, then ``process`` is called on each (in the tasks, with path, stem and content). ``done`` is
+    given ``path``, ``result`` and ``error``; a file whose processing fails is such a row, and the rest goes on."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        on_discover([r.stem for r in batch.select("stem").collect()])  # as many as a trigger may hold
+        while paused():
+            time.sleep(wait_s)
+
+        def each(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            for part in batches:
+                out = []
+                for file in part.to_dict("records"):
+                    try:
+                        out.append((file["path"], process(file), None))
+                    except Exception as error:  # one bad file must not end the others
+                        out.append((file["path"], None, f"{type(error).__name__}: {error}"))
+                yield pd.DataFrame(out, columns=["path", "result", "error"])
+
+        done(batch.select("path", "stem", "content").mapInPandas(each, "path string, result string, error string"))
+
+    return apply
+
+
+def write_artifacts(rows: DataFrame, folder: str, kind: str) -> None:
+    """Writes each row's ``value`` (a JSON text) to ``{stem}.{kind}.json`` in ``folder``, a folder all tasks share; each
+    file is replaced at once, so a task run again leaves the same files."""
+    if kind not in ARTIFACTS:
+        raise ValueError(f"no artifact is called {kind}")
+
+    def write(part: Iterator) -> None:
+        for row in part:
+            replace_file(f"{folder}/{row.stem}.{kind}.json", row.value)
+
+    rows.select("stem", "value").foreachPartition(write)
+
+
+@contextmanager
+def _locked(path: str, wait_s: float = 10.0) -> Iterator[None]:
+    """One writer of a document at a time, by a file that only one can create."""
+    lock, end = f"{path}.lock", time.monotonic() + wait_s
+    while True:
+        try:
+            os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+            break
+        except FileExistsError:
+            if time.monotonic() > end:
+                raise TimeoutError(f"{lock} is held") from None
+            time.sleep(0.02)
+    try:
+        yield
+    finally:
+        os.unlink(lock)
+
+
+def update_edits(path: str, expected: int, edits: dict, normal: Callable[[dict, dict], dict]) -> dict:
+    """Replaces the ``edits`` of the artifact at ``path`` if their revision is still ``expected``; the rest stays.
+
+    ``normal(edits, artifact)`` gives the normal form of edits or raises ValueError. The stored revision counts up by one;
+    an edit made on another revision is refused with ValueError, and nothing is written."""
+    from colloq.operators.overlay import next_revision
+
+    if type(expected) is not int or expected < 0:
+        raise ValueError("a revision is a whole number from 0")
+    with _locked(path):
+        artifact = json.loads(Path(path).read_text("utf-8"))
+        stored = (artifact.get("edits") or {}).get("revision", 0)
+        held = normal({**edits, "revision": next_revision(stored, expected)}, artifact)
+        replace_file(path, json.dumps(artifact | {"edits": held}, ensure_ascii=False, indent=2))
+    return held
+
+
 def replace_file(path: str, text: str) -> None:
     """Replaces a small local document at once: readers see the old or the new text, never a part."""
     target = Path(path)

@@ -2,6 +2,7 @@ import json
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from colloq.operators import changelog
@@ -96,3 +97,84 @@ def test_changelog(spark):
     out = spark.createDataFrame([("/o/m.txt",), ("/o/q.txt",)], "path string")
     src = spark.createDataFrame([("/d/m.wav",), ("/d/m.MP3",), ("/d/m.flac",)], "path string")
     assert [tuple(r) for r in changelog.history(out, src, "path").collect()] == [("m", "/o/m.txt", "/d/m.MP3")]
+
+
+def test_artifacts_are_written_and_read(spark, tmp_path):
+    import json
+
+    rows = [("a", json.dumps({"version": 1, "source": "a.wav", "keywords": [{"word": "w", "score": 1.5}]})), ("b", json.dumps({"version": 9, "keywords": []})), ("c", "{broken")]
+    documents.write_artifacts(spark.createDataFrame(rows, "stem string, value string"), str(tmp_path), "keywords")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.keywords.json", "b.keywords.json", "c.keywords.json"]
+    assert [(r.stem, r.keywords.keywords[0].word) for r in documents.load_artifacts(spark, str(tmp_path), "keywords").collect()] == [("a", "w")]
+    with pytest.raises(ValueError):
+        documents.write_artifacts(spark.createDataFrame(rows, "stem string, value string"), str(tmp_path), "other")
+
+
+def test_files_are_processed_apart(spark, tmp_path):
+    seen, held, asked = [], [], []
+    batch = spark.createDataFrame([("/in/a.wav", "a", 1, b"x"), ("/in/b.Wav", "b", 1, b"")], "path string, stem string, length long, content binary")
+
+    def length(file):
+        if not file["content"]:
+            raise RuntimeError("empty")
+        return str(len(file["content"]))
+
+    def paused():
+        asked.append(1)
+        return len(asked) < 3
+
+    documents.process_files(length, paused=paused, on_discover=seen.extend, done=lambda df: held.extend(tuple(r) for r in df.collect()), wait_s=0.01)(batch, 0)
+    assert sorted(seen) == ["a", "b"] and len(asked) == 3
+    assert sorted(held) == [("/in/a.wav", "1", None), ("/in/b.Wav", None, "RuntimeError: empty")]
+
+
+def test_browser_samples():
+    assert audio.quantize(np.array([1.0, -1.0, 2.0])) == np.array([32767, -32767, 32767], "<i2").tobytes()
+    assert audio.quantize(np.array([1.0, -1.0, -0.5]), full_negative=True) == np.array([32767, -32768, -16384], "<i2").tobytes()
+    line = np.sin(np.arange(4800) / 30)
+    whole = audio.Downsampler(48_000).feed(line)
+    parts = audio.Downsampler(48_000)
+    assert b"".join(parts.feed(line[i : i + 128]) for i in range(0, 4800, 128)) == whole
+    got = np.frombuffer(whole, "<i2") / 32767
+    assert len(got) == 1600 and np.allclose(got, line[::3], atol=1e-3)
+    stereo = np.repeat(line, 2)
+    assert audio.Downsampler(44_100).feed(stereo, 2) == audio.Downsampler(44_100).feed(line)
+
+
+def test_recordings_are_recovered(spark, tmp_path):
+    def wav(seconds, rate=16_000):
+        data = b"\x01\x00" * int(seconds * rate)
+        return b"RIFF" + struct.pack("<I", 0) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", 0) + data
+
+    left, target = tmp_path / "t", tmp_path / "s"
+    left.mkdir()
+    (left / "live_a.wav.part").write_bytes(wav(2) + b"\x01")
+    (left / "live_b.wav.part").write_bytes(wav(0.5))
+    (left / "live_c.wav.part").write_bytes(b"no recording")
+    (left / "live_d.wav").write_bytes(wav(3))
+    target.mkdir()
+    (target / "recovered_live_a.wav").write_bytes(b"x")
+    moved = audio.recover_recordings(spark, str(left), str(target))
+    assert [m.rsplit("/", 1)[1] for m in moved] == ["recovered_live_a_2.wav", "recovered_live_d.wav"] and not list(left.iterdir())
+    assert audio.wav_layout((target / "recovered_live_a_2.wav").read_bytes())[4] == 64_000
+    df = spark.createDataFrame([(16_000,), (24_000,), (800,)], "n long")
+    assert [r[0] for r in df.select(audio.elapsed_seconds(F.col("n"))).collect()] == [1.0, 1.5, 0.0]
+
+
+def test_pending_replay_and_session_ids(spark):
+    import json
+
+    log = spark.createDataFrame([(v, "job", f"f{v}") for v in range(1, 8)], "v long, e string, f string")
+    assert sorted(r.v for r in changelog.pending(log, "v", "e", 4).collect()) == [5, 6, 7]
+    assert [tuple(r) for r in changelog.pending(log, "v", "e", 1, most=5).collect()] == [(7, "reset", None)]
+    assert changelog.pending(log, "v", "e", 9).count() == 0
+    status = spark.createDataFrame([("s", "recording"), ("t", "idle")], "session string, state string")
+    finals = spark.createDataFrame([("s", n, n, f"x{n}", 0.0, 1.0) for n in range(5)], "session string, seq long, utterance_id int, text string, t0 double, t1 double")
+    words = spark.createDataFrame([("s", "b", 1.0, 2), ("s", "a", 2.0, 1)], "session string, word string, score double, rank int")
+    graphs = spark.createDataFrame([("s", 3, [("n", 1, 1)], []), ("t", 0, [], [])], "session string, seq int, nodes array<struct<id: string, weight: int, last_seen: int>>, edges array<struct<a: string, b: string, weight: double>>")
+    got = [json.loads(r.message) for r in changelog.replay(status, finals, words, graphs, 2).filter("session = 's'").orderBy("part", "n").collect()]
+    assert [m["type"] for m in got] == ["status", "final", "final", "keywords", "graph"] and [m["text"] for m in got[1:3]] == ["x3", "x4"]
+    assert got[3]["keywords"][0] == {"word": "a", "score": 2.0}
+    starts = spark.createDataFrame([(1, "2024-01-31 09:05:59"), (2, "2024-01-31 09:05:01"), (3, "2024-01-31 09:06:00"), (4, "2024-01-31 09:05:30")], "ord long, at string").withColumn("at", F.to_timestamp("at"))
+    taken = spark.createDataFrame([("20240131_0906",), ("20240131_0905_2",), ("other",)], "session_id string")
+    assert [r.session_id for r in changelog.session_ids(starts, "at", taken).orderBy("ord").collect()] == ["20240131_0905", "20240131_0905_3", "20240131_0906_2", "20240131_0905_4"]

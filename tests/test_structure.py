@@ -45,3 +45,33 @@ def test_structure_overlay(spark):
     assert ("relation end is not visible", "ur:1") in rules(relations=[("ur:1", "s1", "s2", "supports")], hidden=[("s1",)])
     assert ("unknown relation type", "ur:1") in rules(relations=[("ur:1", "s2", "s1", "likes")])
     assert ("hidden statement is unknown", "zz") in rules(hidden=[("zz",)])
+
+
+def test_coercion_and_json(spark):
+    from colloq.operators import structure
+    from colloq.operators.flows import FLOW
+
+    raw = spark.createDataFrame([("a", json.dumps(["一つ。なぜなら二つ。", {"speaker": "A", "start": 1.5, "text": "{x}"}, {"end": "odd"}, None, {"speaker": None}])), ("b", "{}"), ("c", None), ("d", "[]")], "session string, raw string")
+    got = [tuple(r) for r in structure.coerce_utterances(raw, "raw").orderBy("session", "utterance_index").collect()]
+    assert got == [("a", 0, "", 0.0, 0.0, "一つ。なぜなら二つ。"), ("a", 1, "A", 1.5, 0.0, "{x}"), ("a", 2, "", 0.0, 0.0, ""), ("a", 3, "", 0.0, 0.0, ""), ("a", 4, "", 0.0, 0.0, "")]
+    found = build_structure(structure.coerce_utterances(raw, "raw"))
+    flows = spark.createDataFrame([("a", 0, "t1", [], [], [], None, "high", [])], FLOW)
+    made = {r.session: json.loads(r.value) for r in structure.structure_json(found, flows).collect()}
+    assert set(made) == {"a"} and made["a"]["kind"] == "logical_structure" and made["a"]["extractors"] == ["markers"]
+    assert [s["id"] for s in made["a"]["statements"]] == ["s1", "s2", "s3"]
+    assert [(r["source"], r["target"], r["evidence"]["marker"]) for r in made["a"]["relations"]] == [("s2", "s1", "なぜなら")]
+    assert made["a"]["decision_flows"][0]["topic_id"] == "t1" and json.loads(structure.structure_json(found).first().value)["decision_flows"] == []
+
+
+def test_term_extractor(spark):
+    from pyspark.sql import functions as F
+
+    asked = []
+
+    def words(df, keys, text, most):
+        asked.append(most)
+        return df.select(*keys, F.lit("zzz").alias("word"), F.lit(1).alias("rank"))
+
+    utt = spark.createDataFrame([("a", 0, "A", "一つ。"), ("a", 1, "A", "二つ。")], UTT)
+    got = build_structure(utt, term_extractor=words)
+    assert asked == [6] and {r.label for r in got.topics.collect()} == {"zzz"}
