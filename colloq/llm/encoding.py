@@ -378,16 +378,15 @@ _HEAD = re.compile(r"^(?:[\x00-\x7f]*?(?:: |\] |[-*#] )(?=[^\x00-\x7f]|\w))+")
 
 
 def records(text: str) -> set[str]:
-    """The lines of a text that hold non-ASCII characters, without labels at their head, their parts, and each of
-    their words that holds such characters with its neighbours; digits count alike."""
+    """What of a text is compared: of its lines, without labels at their head, the parts that ASCII marks set apart, and
+    of those each word that holds non-ASCII characters, with its neighbours; digits count alike."""
     out = set()
     for line in text.split("\n"):
         if not line.isascii():
-            line = _HEAD.sub("", re.sub("[0-9]+", "0", line)).strip()
-            out.add(line)
-            out.update(part.strip() for part in _APART.split(line) if not part.isascii())
-            words = line.split(" ")
-            out.update(" ".join(words[max(0, i - 1) : i + 2]) for i, w in enumerate(words) if not w.isascii())
+            for part in _APART.split(_HEAD.sub("", re.sub("[0-9]+", "0", line)).strip()):
+                if not part.isascii():
+                    words = part.strip().split(" ")
+                    out.update(" ".join(words[max(0, i - 1) : i + 2]) for i, w in enumerate(words) if not w.isascii())
     return out
 
 
@@ -406,26 +405,32 @@ def _pattern(data: str) -> int:
 
 _READABLE = frozenset().union(*(_table(codec) for codec in SINGLE_BYTE))
 BOTH_WAYS = ("utf-8", *MULTI_BYTE)  # encodings of which one may be read as another
-LOSSY = ("latin-1", "cp1252", *MULTI_BYTE)  # and those that, read as UTF-8, leave U+FFFD
 
 
-def clean_keys(record: str) -> list[tuple[int, str]]:
+LOSSY = (("latin-1", "utf-8"), ("cp1252", "utf-8"))
+LOSSY_ASIAN = (*((w, "utf-8") for w in MULTI_BYTE), *(("utf-8", r) for r in MULTI_BYTE), ("euc_jp", "cp932"))
+
+
+def clean_keys(record: str, lossy: bool = True) -> list[tuple[int, str]]:
     """(key, how) under which a record is met as the clean twin: by its pattern under each multi-byte encoding, as it is,
-    and as what a lossy reading leaves of it."""
-    out = [(_hash("text", record), "")]
-    for written in BOTH_WAYS:
+    and, if ``lossy``, as what a lossy reading leaves of it. Encodings of Chinese, Japanese and Korean are tried on
+    records with a character of those."""
+    out = {_hash("text", record): ""}
+    asian = max(record) >= "\u2e80"
+    for written in BOTH_WAYS if asian else BOTH_WAYS[:1]:
         if (data := _encoded(record, written)) is not None and len(data) != len(record):
-            out.append((_pattern(data), written))
-    for written in LOSSY:
-        if (data := _encoded(record, written)) is not None and "\ufffd" in (left := data.encode("latin-1").decode("utf-8", "replace")):
-            out.append((_hash("lost", left), written))
-    return out
+            out.setdefault(_pattern(data), written)
+    if lossy:
+        for written, read in LOSSY_ASIAN if asian else LOSSY:
+            if "\ufffd" in (left := garble(record, written, read) or ""):
+                out.setdefault(_hash("lost", left), f"{written}>{read}")
+    return list(out.items())
 
 
 def garbled_keys(record: str) -> list[tuple[int, str]]:
     """(key, how) under which a record is met as the garbled twin."""
     if "\ufffd" in record:
-        return [(_hash("lost", record), "utf-8")]
+        return [(_hash("lost", record), "lost")]
     out = []
     if all(ch < "\x80" or ch in _READABLE for ch in record):
         out.append((_pattern(record), "?"))
@@ -469,9 +474,10 @@ def align(clean: str, garbled: str, written: str) -> list[tuple[str, str, str]]
 
 def infer(clean: str, garbled: str, written: str, how: str) -> list[str]:
     """The transformations that turn ``clean`` into ``garbled``: from their alignment those encodings whose table has
-    each aligned character at its byte; for readings that take bytes together, the pair that ``how`` names."""
+    each aligned character at its byte; for readings that take bytes together or lose some, the pair that ``how`` or
+    ``written`` names."""
     if how != "?":
-        rule = how if ">" in how else f"{written}>{how}"
+        rule = how if ">" in how else written
         return [rule] if garble(clean, *rule.split(">")) == garbled else []
     aligned = align(clean, garbled, written)
     if aligned is None:
@@ -515,7 +521,7 @@ def learn_rules(docs: DataFrame, text: str, plausible: Plausibility, *, least_ga
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, i, how, side, plausible(r)) for i, r in zip(batch["id"], batch["record"], strict=True) for side, keys in ((True, clean_keys(r)), (False, garbled_keys(r))) for k, how in keys]
+            rows = [(k, i, how, side, plausible(r)) for i, r in zip(batch["id"], batch["record"], strict=True) for side, keys in ((True, clean_keys(r, lossy)), (False, garbled_keys(r))) for k, how in keys]
             yield pd.DataFrame(rows, columns=["key", "id", "how", "clean", "score"])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -529,6 +535,7 @@ def learn_rules(docs: DataFrame, text: str, plausible: Plausibility, *, least_ga
         if held is not None:
             yield _twins(held)
 
+    lossy = "\ufffd" in plausible.log
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps the Python work spread
     source = docs.select(F.col(text).alias("__text")).filter(F.col("__text").rlike(r"[^\x00-\x7f]"))
     every = checkpoint(source.mapInPandas(split, "record string").repartition(parts, "record").distinct().select(F.xxhash64("record").alias("id"), "record"))

@@ -97,7 +97,8 @@ def test_twins_share_a_key(rule, text):
 
 
 def test_records():
-    assert en.records("[00:12] SPEAKER_00: Le café, 12 côtés.\nplain") == {"Le café, 0 côtés.", "Le café,", "0 côtés.", "Le café, 0"}
+    assert en.records("[00:12] SPEAKER_00: Le café, 12 côtés.\nplain") == {"Le café,", "0 côtés."}
+    assert en.records("a b cé d e fü。x") == {"b cé d", "e fü。x"}
     assert en.records("") == en.records("abc") == set()
 
 
