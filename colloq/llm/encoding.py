@@ -521,8 +521,17 @@ def learn_rules(docs: DataFrame, text: str, plausible: Plausibility, *, least_ga
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, i, how, side, plausible(r)) for i, r in zip(batch["id"], batch["record"], strict=True) for side, keys in ((True, clean_keys(r, lossy)), (False, garbled_keys(r))) for k, how in keys]
-            yield pd.DataFrame(rows, columns=["key", "id", "how", "clean", "score"])
+            rows: dict[str, list] = {c: [] for c in ("key", "id", "how", "clean", "score")}
+            for i, record in zip(batch["id"].tolist(), batch["record"], strict=True):
+                score = plausible(record)
+                for side, keys in ((True, clean_keys(record, lossy)), (False, garbled_keys(record))):
+                    n = len(keys)
+                    rows["key"].extend([k for k, _ in keys])
+                    rows["how"].extend([how for _, how in keys])
+                    rows["id"].extend([i] * n)
+                    rows["clean"].extend([side] * n)
+                    rows["score"].extend([score] * n)
+            yield pd.DataFrame(rows)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by key: those of each key that has rows of both sides, paired."""
