@@ -50,7 +50,10 @@ def relation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discourse.break_cycles(validate_relations(spark, sf_dir))
+    """Valid relations and, for each pair of statements, one the other way round, weaker or stronger than all of them."""
+    r = validate_relations(spark, sf_dir)
+    turned = r.groupBy("session", F.col("target").alias("source"), F.col("source").alias("target")).agg(F.lit("elaborates").alias("type"), (F.min("rel_pos") + 2_000_000).alias("rel_pos"), F.when(F.min("rel_pos") % 2 == 0, F.lit(0.01)).otherwise(F.lit(2.0)).alias("confidence"), F.lit("").alias("marker"), F.lit("turned").alias("rule"))
+    return discourse.break_cycles(checkpoint(r.unionByName(turned)))
 
 
 def statement_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,6 +256,10 @@ amount AS (SELECT session, count(*) AS m FROM own GROUP BY ALL), numbers AS (SEL
 free AS (SELECT n.session, k, row_number() OVER (PARTITION BY n.session ORDER BY k) AS place FROM numbers n WHERE NOT EXISTS (SELECT 1 FROM marked w WHERE w.session = n.session AND keep AND w.id = 'r' || k)),
 rest AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY rel_pos) AS place FROM marked WHERE NOT keep)
 SELECT session, rel_pos, id, id AS rel_id FROM marked WHERE keep UNION ALL SELECT rest.session, rel_pos, id, 'r' || k FROM rest JOIN free USING (session, place)""",
+    "relations_acyclic": f"""WITH {_NOISY}, r AS (SELECT session, source, target, type, rel_pos, least(1.0, greatest(0.0, confidence)) AS confidence, marker, rule FROM ok WHERE k = 1),
+p AS (SELECT session, source, target, min(rel_pos) AS pos FROM r GROUP BY ALL)
+SELECT r.* FROM r JOIN p USING (session, source, target) WHERE pos % 2 = 0
+UNION ALL SELECT session, target, source, 'elaborates', pos + 2000000, 2.0, '', 'turned' FROM p WHERE pos % 2 <> 0""",
     "statement_terms": f"""WITH {_ST}, own AS (SELECT session, id, text, terms FROM st), bare AS (SELECT session, id, text FROM own WHERE coalesce(len(terms), 0) = 0 AND text IS NOT NULL),
 ww AS (SELECT session, id, unnest(list_concat(list_concat(regexp_extract_all(text, '{lexicons.KEYWORD_PATTERNS[0]}'), regexp_extract_all(text, '{lexicons.KEYWORD_PATTERNS[1]}')), regexp_extract_all(text, '{lexicons.KEYWORD_PATTERNS[2]}'))) AS word FROM bare),
 cc AS (SELECT session, id, word, count(*) AS n FROM ww WHERE word NOT IN ({sql_list(lexicons.KEYWORD_STOPWORDS)}) AND lower(word) NOT IN ({sql_list(lexicons.KEYWORD_STOPWORDS)}) GROUP BY ALL),

@@ -109,6 +109,19 @@ s AS (SELECT session, frame_no, lag(frame_no) OVER (PARTITION BY session ORDER B
 u AS (SELECT *, sum(CASE WHEN prev IS NULL OR frame_no - prev > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY frame_no) AS u FROM s)
 SELECT u.session, CAST(u AS BIGINT) AS utterance_id, min(frame_no) AS first_frame, least(max(frame_no) + 3, max(total)) AS close_frame, count(*) AS speech_frames,
   CASE WHEN count(*) < 2 THEN 'cancel' ELSE 'end' END AS kind FROM u JOIN n USING (session) GROUP BY u.session, u""",
+    "vad_state_machine": f"""WITH RECURSIVE {_FRAMES}, n AS (SELECT session, max(frame_no) AS total FROM f GROUP BY ALL),
+m AS (SELECT session, CAST(0 AS BIGINT) AS n, false AS speaking, CAST(0 AS BIGINT) AS start, 0 AS length, 0 AS speech, 0 AS quiet, 0 AS pre, 1 AS uid, CAST(NULL AS VARCHAR) AS kind, 0 AS said, CAST(0 AS BIGINT) AS first FROM n
+  UNION ALL
+  SELECT session, n + 1, CASE WHEN closes THEN false ELSE speaking OR loud END, CASE WHEN opens THEN n - pre ELSE start END,
+    CASE WHEN closes THEN 0 WHEN opens THEN pre + 1 WHEN speaking THEN length + 1 ELSE length END, CASE WHEN closes THEN 0 WHEN opens THEN 1 ELSE sp END, CASE WHEN closes OR opens THEN 0 ELSE qu END,
+    CASE WHEN closes THEN 0 WHEN speaking OR opens THEN pre ELSE least(pre + 1, 2) END, CASE WHEN closes THEN uid + 1 ELSE uid END,
+    CASE WHEN opens THEN 'start' WHEN closes AND sp < 2 THEN 'cancel' WHEN closes THEN 'end' END, uid, CASE WHEN opens THEN n - pre ELSE start END
+  FROM (SELECT *, NOT speaking AND loud AS opens, speaking AND (qu >= 3 OR length + 1 >= 31) AS closes FROM
+    (SELECT m.*, p >= 0.25 AS loud, CASE WHEN speaking AND p >= 0.25 THEN speech + 1 ELSE speech END AS sp, CASE WHEN NOT speaking THEN quiet WHEN p >= 0.25 THEN 0 ELSE quiet + 1 END AS qu
+     FROM m JOIN f ON f.session = m.session AND f.frame_no = m.n + 1))),
+e AS (SELECT session, kind, said, first, n, 0 AS late FROM m WHERE kind IS NOT NULL UNION ALL SELECT m.session, CASE WHEN speech < 2 THEN 'cancel' ELSE 'end' END, uid, start, m.n, 1 FROM m JOIN n ON n.session = m.session AND m.n = total WHERE speaking)
+SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY n, late) AS INTEGER) AS seq, kind, said AS utterance_id, round(first * 0.032::DOUBLE, 2) AS t0, CASE WHEN kind <> 'start' THEN round(n * 0.032::DOUBLE, 2) END AS t1,
+  first AS first_frame, n AS last_frame FROM e""",
     "chunk_spans": """WITH d AS (SELECT DISTINCT doc_id, n_chars FROM documents WHERE n_chars > 0), s AS (SELECT doc_id, n_chars, unnest(range(0, n_chars, 1000)) AS span_start FROM d)
 SELECT doc_id, span_start, least(span_start + 1000, n_chars) AS span_end, CAST(greatest(1, ceil((least(span_start + 1000, n_chars) - span_start) / 16.0::DOUBLE * 13.0::DOUBLE)) AS INTEGER) AS token_budget FROM s""",
     "changelog_latest": f"WITH {_JOBS} SELECT filename, version_no, job_state, segments_completed, error_text FROM l",

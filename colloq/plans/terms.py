@@ -80,6 +80,11 @@ def graph_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_snapshots(_numbered(spark, sf_dir), max_nodes=40, decay=0.98, max_candidates=200)
 
 
+def graph_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each session's words in a pool that is too small for many of them."""
+    return graph.graph_pools(_numbered(spark, sf_dir), max_nodes=20, decay=0.98, max_candidates=30)
+
+
 _U = "u AS (SELECT DISTINCT session_id, utt_id, utt_index, text FROM utterances)"
 _D = "u AS (SELECT DISTINCT doc_id, text FROM documents)"
 
@@ -117,6 +122,7 @@ QUERIES = {
     "graph_visible_topk": graph_visible_topk,
     "graph_visible_edges": graph_visible_edges,
     "graph_evicted": graph_evicted,
+    "graph_pool": graph_pool,
 }
 SQL = {
     "keywords_topk": f"WITH {_U}, {_counts('session_id')}, {_top('session_id', 15)} SELECT * FROM top",
@@ -137,4 +143,14 @@ SELECT file_id, word, round(score, 6) AS score, rank FROM k WHERE rank <= 20""",
     "cooccurrence_edges": f"WITH {_NUMBERED}, {_EDGES} SELECT * FROM e WHERE weight >= 2",
     "graph_visible_topk": f"WITH {_VISIBLE} SELECT * FROM v",
     "graph_visible_edges": f"WITH {_VISIBLE}, {_EDGES} SELECT e.* FROM e SEMI JOIN v x ON x.session = e.session AND x.word = e.a SEMI JOIN v y ON y.session = e.session AND y.word = e.b",
+    "graph_pool": f"""WITH RECURSIVE {_NUMBERED}, u AS (SELECT session, seq, map(list(word), list(score)) AS ts FROM n GROUP BY session, seq),
+m AS (SELECT DISTINCT session, CAST(0 AS BIGINT) AS step, CAST([] AS STRUCT(sal DOUBLE, last_seen BIGINT, w VARCHAR, f BIGINT)[]) AS pool FROM u
+  UNION ALL
+  SELECT session, step, CASE WHEN len(p) > 30 THEN list_sort(p)[len(p) - 29:] ELSE p END FROM
+   (SELECT m.session, m.step + 1 AS step, list_concat(
+     list_transform(pool, lambda x: CASE WHEN ts[x.w] IS NOT NULL THEN {{'sal': x.sal * 0.98::DOUBLE + ts[x.w], 'last_seen': m.step + 1, 'w': x.w, 'f': x.f + 1}} ELSE {{'sal': x.sal * 0.98::DOUBLE, 'last_seen': x.last_seen, 'w': x.w, 'f': x.f}} END),
+     list_transform(list_filter(map_keys(ts), lambda y: NOT list_contains(list_transform(pool, lambda z: z.w), y)), lambda y: {{'sal': ts[y], 'last_seen': m.step + 1, 'w': y, 'f': CAST(1 AS BIGINT)}})) AS p
+    FROM m JOIN u ON u.session = m.session AND u.seq = m.step + 1)),
+z AS (SELECT session, unnest(pool) AS x FROM (SELECT session, arg_max(pool, step) AS pool FROM m GROUP BY session))
+SELECT session, x.w AS word, round(x.sal, 6) AS salience, CAST(x.f AS INTEGER) AS frequency, CAST(x.last_seen AS INTEGER) AS last_seen FROM z""",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,6 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="colloq-checkpoint-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
@@ -54,7 +57,9 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="colloq-package-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="colloq-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
