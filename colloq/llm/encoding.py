@@ -428,13 +428,14 @@ def clean_keys(record: str, lossy: bool = True) -> list[tuple[int, str]]:
 
 
 def garbled_keys(record: str) -> list[tuple[int, str]]:
-    """(key, how) under which a record is met as the garbled twin."""
+    """(key, how) under which a record is met as the garbled twin. A reading that takes bytes together makes Chinese,
+    Japanese or Korean characters of them."""
     if "\ufffd" in record:
         return [(_hash("lost", record), "lost")]
     out = []
     if all(ch < "\x80" or ch in _READABLE for ch in record):
         out.append((_pattern(record), "?"))
-    for read in MULTI_BYTE:
+    for read in MULTI_BYTE if max(record) >= "\u2e80" else ():
         if (data := _encoded(record, read)) is None:
             continue
         for written in BOTH_WAYS:

@@ -17,7 +17,7 @@ COLUMNS = {
     "p6_found": [("file_id", "int"), ("speaker", "string"), ("first_segment_id", "bigint"), ("last_segment_id", "bigint")],
     "p9_found": [("doc_id", "bigint")],
 }
-MAY_BE_EMPTY = {"p1_found", "p1_scores"}
+MAY_BE_EMPTY = {"p1_found", "p1_scores", "p1_sessions"}
 
 
 def plain(value):
