@@ -87,9 +87,9 @@ def _reading_map(codec: str) -> dict[int, str]:
 
 
 @lru_cache(maxsize=None)
-def _high_run(codec: str, ascii_too: bool) -> re.Pattern:
-    high = "".join(re.escape(ch) for ch, b in _table(codec).items() if b > 127)
-    return re.compile(f"[{high}][{high}\x20-\x7e]*" if ascii_too else f"[{high}]+")
+def _byte_map(codec: str) -> dict[int, int]:
+    """Characters to their bytes; what is a byte by its number but no character of the encoding becomes none."""
+    return {o: 0xFFFF for o in range(0x80, 0x100)} | {ord(ch): b for ch, b in _table(codec).items()}
 
 
 @lru_cache(maxsize=100_000)
@@ -151,10 +151,7 @@ def _spans(text: str, written: str, read: str) -> Iterator[tuple[int, int, str,
     """Stretches (start, end, restored, units) of ``text`` that come from a text written so and read so."""
     units = _UNITS[written]
     if read in SINGLE_BYTE:
-        table = _table(read)
-        for run in _high_run(read, written in ("cp932", "gbk", "cp949", "big5")).finditer(text):
-            data = "".join(chr(table[ch]) for ch in run.group())
-            yield from _decoded(data, run.start(), lambda i: i, units, written)
+        yield from _decoded(text.translate(_byte_map(read)), lambda i: i, units, written, None, written in ("cp932", "gbk", "cp949", "big5"))
     else:
         for run in re.finditer(r"[^\x00-\x7f�][^\n�]*", text):
             data, at, starts = [], [], set()
@@ -167,18 +164,56 @@ def _spans(text: str, written: str, read: str) -> Iterator[tuple[int, int, str,
                 data.append(b.decode("latin-1"))
                 at.extend([base + k] * len(b))
             at.append(run.end())
-            yield from _decoded("".join(data), 0, at.__getitem__, units, written, starts)
+            yield from _decoded("".join(data), at.__getitem__, units, written, starts, True)
 
 
-def _decoded(data: str, base: int, place: Callable[[int], int], units: re.Pattern, written: str, starts: set[int] | None = None) -> Iterator[tuple[int, int, str, int]]:
-    """Chains of adjacent multi-byte characters in ``data`` (for encodings with ASCII trail bytes, ASCII may lie
-    between). ``starts``: where a chain may begin; anywhere, if null."""
+def _decoded(data: str, place: Callable[[int], int], units: re.Pattern, written: str, starts: set[int] | None, far: bool) -> Iterator[tuple[int, int, str, int]]:
+    """Chains of multi-byte characters in ``data``, adjacent or, if ``far`` (for encodings with ASCII trail bytes), with
+    ASCII between. ``starts``: where a chain may begin; anywhere, if null."""
+    try:
+        found = list(_chains(data, units, written, starts, far))
+    except UnicodeDecodeError:  # something in the pattern of a character is none: one by one
+        found = _by_units(data, units, written, starts, far)
+    for start, end, text, n in found:
+        yield place(start), _end(place, end), text, n
+
+
+def _chains(data: str, units: re.Pattern, written: str, starts: set[int] | None, far: bool) -> Iterator[tuple[int, int, str, int]]:
+    """As :func:`_by_units`, decoding adjacent characters together."""
+    many, start, end, pos, n = _runs(units), 0, 0, 0, 0
+    out: list[str] = []
+    while m := many.search(data, pos):
+        between = data[end : m.start()]
+        joins = bool(out) and (between == "" or far and between.isascii() and between.isprintable() and len(between) <= 40)
+        if not joins and starts is not None and m.start() not in starts:
+            pos = m.start() + 1
+            continue
+        text = m.group().encode("latin-1").decode(written)
+        if joins:
+            out.append(between + text)
+        else:
+            if out:
+                yield start, end, "".join(out), n
+            start, out, n = m.start(), [text], 0
+        pos = end = m.end()
+        n += len(text)
+    if out:
+        yield start, end, "".join(out), n
+
+
+@lru_cache(maxsize=None)
+def _runs(units: re.Pattern) -> re.Pattern:
+    return re.compile(f"(?:{units.pattern})+")
+
+
+def _by_units(data: str, units: re.Pattern, written: str, starts: set[int] | None, far: bool) -> Iterator[tuple[int, int, str, int]]:
+    """Chains (start, end, decoded, characters) of adjacent characters, those that are none left out."""
     start = end = pos = 0
     out: list[str] = []
     n = 0
     while m := units.search(data, pos):
         between = data[end : m.start()]
-        joins = bool(out) and (between == "" or (between.isascii() and between.isprintable() and len(between) <= 40))
+        joins = bool(out) and (between == "" or far and between.isascii() and between.isprintable() and len(between) <= 40)
         if not joins and starts is not None and m.start() not in starts:
             pos = m.start() + 1
             continue
@@ -191,12 +226,12 @@ def _decoded(data: str, base: int, place: Callable[[int], int], units: re.Patter
             out.append(between + ch)
         else:
             if out:
-                yield base + place(start), base + _end(place, end), "".join(out), n
+                yield start, end, "".join(out), n
             start, out, n = m.start(), [ch], 0
         pos = end = m.end()
         n += 1
     if out:
-        yield base + place(start), base + _end(place, end), "".join(out), n
+        yield start, end, "".join(out), n
 
 
 def _end(place: Callable[[int], int], end: int) -> int:
@@ -278,13 +313,14 @@ def _leads(written: str, read: str, plausible: Plausibility) -> tuple[list[str],
             b = _bytes_of(ch, read)
             if not b:
                 continue
-            if 0x80 <= b[0] < 0xC0:
+            # The third byte, and with it the next unit's first or an ASCII sign.
+            if 0x80 <= b[0] < 0xC0 and (len(b) == 1 or 0xC2 <= b[1] < 0xF5 or 0x40 <= b[1] < 0x7F):
                 then.append(ch)
             if len(b) == 1 and 0xC2 <= b[0] < 0xF5 or len(b) > 1 and 0xE0 <= b[0] < 0xF5 and 0x80 <= b[1] < 0xC0:
                 first.append(ch)
             elif len(b) == 2 and 0xC2 <= b[0] < 0xE0 and 0x80 <= b[1] < 0xC0:
                 single.append(ch)
-        return first + single, f"{cls(first)}{cls(then)}|{cls(single)}{{4}}"
+        return first + single, f"{cls(first)}{cls([*then, '\ufffd'])}|{cls(single)}{{4}}"
     # A character that is just one unit of the written encoding turns into one character, so a stretch of them gains
     # only if one of them does. All others are tried.
     first = []
@@ -323,10 +359,13 @@ def restore(text: str, rules: tuple[str, list[tuple[str, str, str]]], plausible:
     if not gate.search(text):
         return text, used
     compiled = [(w, r, re.compile(p)) for w, r, p in rules[1]]
+    first = [rule for rule in compiled if rule[2].search(text)]
+    if not first:
+        return text, used
     lines = text.split("\n")
     for i, line in enumerate(lines):
         if gate.search(line):
-            lines[i], rule = _restore_line(line, compiled, plausible, least_gain)
+            lines[i], rule = _restore_line(line, first, compiled, plausible, least_gain)
             used.extend(r for r in rule if r not in used)
     return "\n".join(lines), used
 
@@ -336,11 +375,12 @@ def _cost(text: str, plausible: Plausibility) -> float:
     return plausible.cost(text) + 2.0 * _breaks(text)
 
 
-def _restore_line(text: str, rules: list[tuple[str, str, re.Pattern]], plausible: Plausibility, least_gain: float) -> tuple[str, list[str]]:
+def _restore_line(text: str, first: list[tuple[str, str, re.Pattern]], rules: list[tuple[str, str, re.Pattern]], plausible: Plausibility, least_gain: float) -> tuple[str, list[str]]:
+    """As :func:`restore`, of a line; ``first`` are the rules that anything of the text it is from can change under."""
     used: list[str] = []
     while True:
         found = []
-        for written, read, need in rules:
+        for written, read, need in rules if used else first:
             if not need.search(text):
                 continue
             once = _undo(text, written, read, plausible, least_gain)

@@ -96,6 +96,20 @@ def test_twins_share_a_key(rule, text):
     assert any(">".join(rule) in en.infer(text, bad, w, how) for k, w in en.clean_keys(text) for g, how in en.garbled_keys(bad) if k == g)
 
 
+@pytest.mark.parametrize("written", sorted(en._UNITS))
+def test_chains_are_the_same_decoded_together(written):
+    r = random.Random(5)
+    pieces = [t.encode(written, "ignore").decode("latin-1") for t in [*CLEAN, "あ", "é", "가"]] + ["ab", "\x81", "\xe3\x81", "\xff\xfe", " ", "x" * 60, "\n"]
+    for _ in range(300):
+        data = "".join(p[r.randrange(0, 3) :][: r.randrange(1, 30)] for p in r.choices(pieces, k=6))
+        for starts in (None, set(r.sample(range(len(data) + 1), len(data) // 2))):
+            try:
+                got = list(en._chains(data, en._UNITS[written], written, starts, starts is None))
+            except UnicodeDecodeError:
+                continue
+            assert got == list(en._by_units(data, en._UNITS[written], written, starts, starts is None))
+
+
 def test_records():
     assert en.records("[00:12] SPEAKER_00: Le café, 12 côtés.\nplain") == {"Le café,", "0 côtés."}
     assert en.records("a b cé d e fü。x") == {"b cé d", "e fü。x"}
