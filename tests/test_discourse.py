@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,47 @@ def test_cycles():
     assert discourse.acyclic([(str(i), str(i + 1), "x", 0.5) for i in range(5000)]) == list(range(5000))
 
 
+def restarted(edges):
+    """The edges kept if the search begins anew after each cycle."""
+    alive = list(range(len(edges)))
+
+    def visit(node, trail):
+        for i in sorted((i for i in alive if edges[i][0] == node), key=lambda i: edges[i][:3] + (i,)):
+            sources = [edges[j][0] for j in [*trail, i]]
+            if edges[i][1] in sources:
+                return [*trail, i][sources.index(edges[i][1]) :]
+            found = visit(edges[i][1], [*trail, i])
+            if found:
+                return found
+        return None
+
+    while cycle := next(filter(None, (visit(root, []) for root in sorted({edges[i][0] for i in alive}))), None):
+        alive.remove(min(cycle, key=lambda i: (edges[i][3], edges[i][0], edges[i][1])))
+    return alive
+
+
+def test_cycles_are_those_of_a_search_begun_anew():
+    rnd = random.Random(7)
+    for _ in range(500):
+        n = rnd.randint(1, 7)
+        edges = [(f"s{rnd.randint(1, n)}", f"s{rnd.randint(1, n)}", rnd.choice("ab"), rnd.choice([0.1, 0.5, 0.9])) for _ in range(rnd.randint(0, 14))]
+        assert discourse.acyclic(edges) == restarted(edges)
+
+
+def test_many_cycles_are_broken_in_one_search():
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            self.reads += 1
+            return super().__getitem__(i)
+
+    edges = Counted(e for i in range(1, 300) for e in ((f"s{i + 1}", f"s{i}", "supports", 0.9), (f"s{i}", f"s{i + 1}", "elaborates", 2.0 if i % 2 else 0.01)))
+    kept = discourse.acyclic(edges)
+    assert edges.reads <= 20 * len(edges)
+    assert kept == [i for i in range(598) if i // 2 % 2 != i % 2]
+
+
 def test_break_cycles_by_session(spark):
     rel = spark.createDataFrame([("m", 1, "s1", "s2", "causes", 0.9), ("m", 2, "s2", "s1", "causes", 0.3), ("n", 1, "s1", "s2", "causes", 0.3)], REL)
     assert {(r.session, r.rel_pos) for r in discourse.break_cycles(rel).collect()} == {("m", 1), ("n", 1)}
